@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> module of this subpackage that has the function of that name
 _QUERIES = {
+    "op2_license_scan": "license_scan",
+    "op3_quality_rules": "quality_rules",
     "op4_token_files": "token_files",
+    "op9_packing": "packing",
+    "op10_sharding": "sharding",
 }
 
 

@@ -144,7 +144,7 @@ texts AS (
   SELECT NULL::BIGINT AS doc_id, template, text FROM t
   UNION ALL SELECT doc_id, NULL, text FROM documents WHERE text IS NOT NULL),
 words AS (
-  SELECT doc_id, template, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM texts),
+  SELECT doc_id, template, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts),
 shingles AS (
   SELECT DISTINCT doc_id, template, w[i : i + 4] AS s
   FROM (SELECT doc_id, template, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),

@@ -146,10 +146,10 @@ _MARKS = ", ".join("'" + m.replace("'", "''") + "'" for m in END_MARKS)
 ORACLE_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 lines AS (
-  SELECT doc_id, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), x -> x <> '')) AS n
+  SELECT doc_id, line, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
 judged AS (
   SELECT doc_id, line, n,

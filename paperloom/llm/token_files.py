@@ -64,7 +64,7 @@ def _encode_partition(path: str, end_id: int):
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> str:
     """Encodes ``docs(doc_id, text)`` into ORC files below ``path``."""
-    ranged = id_text(docs).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text"))
+    ranged = id_text(docs).repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     numbered = ordered.select("doc_id", F.spark_partition_id().alias("part"), "text")
     encoded = numbered.mapInArrow(_encode_partition(tokenizer or token_kernel.default_path(), end_id), FILE_SCHEMA)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from unicodedata import is_normalized
 
 #: Most entries in one generation of a memo (about 200 bytes each).
 MEMO_BOUND = 400_000
@@ -60,6 +61,27 @@ def word_and_tail(chunk: bytes) -> tuple[bytes, bytes] | None:
     return word.lower(), chunk[len(word) :]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies, by rule."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    letters = {b: chr(b) for b in shown}
+    letters |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in letters)}
+    return letters
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def plain_word(part: bytes) -> str | None:
+    """The byte letters of a lower-case Latin word that no earlier step changes."""
+    if part.isalpha():  # ASCII letters only
+        return part.decode("ascii") if part.islower() else None
+    word = part.decode("utf-8")
+    if not word.isalpha() or max(word) >= "\u0250" or word.lower() != word or not is_normalized("NFC", word):
+        return None
+    return part.decode("latin-1").translate(_BYTE_LETTERS)
+
+
 class ChunkEncoder:
     """Encodes UTF-8 texts to ids packed as little-endian uint32."""
 
@@ -69,10 +91,28 @@ class ChunkEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._chunks, self._parts = Memo(bound), Memo(bound)
+        # the shortcut must agree with the library on this file
+        words = [b"thentionable", "\u00e9l\u00e8ve\u00e7\u00e4\u00f1\u00f3\u00df".encode(), b"a"]
+        self._by_word = False
+        plain = self._encode_each(words)
+        self._by_word = True
+        self._by_word = self._encode_each(words) == plain
 
     def _encode_each(self, parts: list[bytes]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast([p.decode("utf-8") for p in parts], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        """Ids of each part; plain lower-case words go straight to the merges."""
+        out: list[bytes] = [b""] * len(parts)
+        rest, tokenize = [], self._tokenizer.model.tokenize
+        for place, part in enumerate(parts):
+            letters = plain_word(part) if self._by_word else None
+            if letters is None:
+                rest.append(place)
+            else:
+                out[place] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+        if rest:
+            found = self._tokenizer.encode_batch_fast([parts[p].decode("utf-8") for p in rest], add_special_tokens=False)
+            for place, encoded in zip(rest, found, strict=True):
+                out[place] = array("I", encoded.ids).tobytes()
+        return out
 
     def _parts_of(self, wanted: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words, punctuation and whole chunks, encoded where unknown."""
@@ -93,14 +133,10 @@ class ChunkEncoder:
                     remembered[part] = ids
         return out
 
-    def _learn(self, distinct: set[bytes]) -> dict[bytes, bytes]:
-        """A dictionary that has every chunk of the set."""
-        known = self._chunks.new
-        unknown = [c for c in distinct if c not in known]
-        if not unknown:
-            return known
-        old, out = self._chunks.old, {}
-        out.update((c, old[c]) for c in unknown if c in old)
+    def _learn(self, unknown: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that the new generation lacks; remembers them."""
+        old = self._chunks.old
+        out = {c: old[c] for c in unknown if c in old}
         splits = {c: word_and_tail(c) or (c, b"") for c in unknown if c not in out}
         wanted = {part for split in splits.values() for part in split}
         wanted.discard(b"")
@@ -108,22 +144,23 @@ class ChunkEncoder:
         parts[b""] = b""
         for chunk, (word, tail) in splits.items():
             out[chunk] = parts[word] + parts[tail]
-        if len(known) + len(out) > self._chunks.bound:
-            out.update((c, known[c]) for c in distinct if c in known)
-            self._chunks.turn(len(out))
-            known = self._chunks.new
-        known.update((c, ids) for c, ids in out.items() if len(c) <= LONGEST_REMEMBERED)
-        long = {c: ids for c, ids in out.items() if len(c) > LONGEST_REMEMBERED}
-        return known | long if long else known
+        self._chunks.turn(len(out))
+        self._chunks.new.update((c, ids) for c, ids in out.items() if len(c) <= LONGEST_REMEMBERED)
+        return out
 
     def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
         """The packed ids of each whole text; null and empty give no ids."""
+        get = self._chunks.new.get
         chunked = [t.split() if t else [] for t in texts]
-        distinct: set[bytes] = set()
-        for chunks in chunked:
-            distinct.update(chunks)
-        found = self._learn(distinct)
-        return [b"".join([found[c] for c in chunks]) for chunks in chunked]
+        found = [list(map(get, chunks)) for chunks in chunked]
+        lacking = [place for place, ids in enumerate(found) if None in ids]
+        if lacking:
+            pairs = ((c, i) for place in lacking for c, i in zip(chunked[place], found[place], strict=True))
+            learnt = self._learn({c for c, i in pairs if i is None})
+            for place in lacking:
+                chunks, ids = chunked[place], found[place]
+                found[place] = [learnt[c] if i is None else i for c, i in zip(chunks, ids, strict=True)]
+        return [b"".join(ids) for ids in found]
 
     def encode(self, text: bytes | None) -> bytes:
         return self.encode_many([text])[0]

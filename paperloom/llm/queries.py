@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> module of this subpackage that has the function of that name
 _QUERIES = {
+    "op1_jaccard_join": "jaccard_join",
     "op2_license_scan": "license_scan",
     "op3_quality_rules": "quality_rules",
     "op4_token_files": "token_files",

@@ -13,6 +13,7 @@ _QUERIES = {
     "op2_license_scan": "license_scan",
     "op3_quality_rules": "quality_rules",
     "op4_token_files": "token_files",
+    "op6_decontamination": "decontamination",
     "op9_packing": "packing",
     "op10_sharding": "sharding",
 }

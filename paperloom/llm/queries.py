@@ -13,7 +13,9 @@ _QUERIES = {
     "op2_license_scan": "license_scan",
     "op3_quality_rules": "quality_rules",
     "op4_token_files": "token_files",
+    "op5_toxicity": "toxicity",
     "op6_decontamination": "decontamination",
+    "op8_quality_mil": "quality_mil",
     "op9_packing": "packing",
     "op10_sharding": "sharding",
 }

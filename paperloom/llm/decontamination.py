@@ -94,22 +94,45 @@ def _search(index: ItemIndex):
     return run
 
 
+def _indexes(items: DataFrame, item_id: str, block_items: int) -> Iterator[ItemIndex]:
+    """An index of each block of the items; there is one at least."""
+    queries = id_text(items, item_id).where("text is not null")
+    blocks = max(1, -(-queries.count() // block_items))
+    numbered = queries.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    for block in range(blocks):
+        rows = numbered.where(F.col("block") == block).select("doc_id", "text").collect()
+        yield ItemIndex([r[0] for r in rows], [r[1] for r in rows])
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
     """Every (document, item) with three quarters of the item in the document.
 
     doc_id, item_id, n_shared, n_shingles (of the item), first_word, last_word.
     """
-    queries = id_text(items, item_id).where("text is not null")
-    blocks = max(1, -(-queries.count() // block_items))
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     texts, found = id_text(docs).where("text is not null"), None
-    for block in range(blocks):
-        rows = numbered.where(F.col("block") == block).select("doc_id", "text").collect()
-        leaks = texts.mapInArrow(_search(ItemIndex([r[0] for r in rows], [r[1] for r in rows])), LEAKS)
+    for index in _indexes(items, item_id, block_items):
+        leaks = texts.mapInArrow(_search(index), LEAKS)
         found = leaks if found is None else found.unionByName(leaks)
     return found
 
 
+def drop_leaks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows, with all their columns, that hold none of the items."""
+    at = docs.columns.index("text")
+
+    def clean(index: ItemIndex):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [not index.search(s) for s in shingle_kernel.shingle_texts(batch.column(at))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    for index in _indexes(items, item_id, block_items):
+        docs = docs.mapInArrow(clean(index), docs.schema)
+    return docs
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "n_shared", "n_shingles")

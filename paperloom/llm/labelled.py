@@ -1,7 +1,11 @@
-"""Labelled training rows, without those held out for evaluation."""
+"""Labelled training rows without those held out, and scoring of whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +30,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int) ->
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
     drawn = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return id_text(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y")
+
+
+def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """doc_id, score of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)))], names=["doc_id", "score"])
+
+    return id_text(docs).mapInArrow(run, "doc_id long, score double")
+
+
+def filtered(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows whose score is kept, with all their columns; nothing shuffles."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(score(batch.column(at)))))
+
+    return docs.mapInArrow(run, docs.schema)

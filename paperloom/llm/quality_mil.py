@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingle_kernel as K
-from .common import id_text, read_table
-from .labelled import held_out, training_rows
+from .common import read_table
+from .labelled import filtered, held_out, scored, training_rows
 from .toxicity import text_chunks
 
 TRAINING_ROWS = 6_000
@@ -204,23 +204,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int =
     return GatedAttention(N_MEASURES).fit(np.concatenate(bags).astype(float), first, target)
 
 
-def _score(model: GatedAttention | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [np.zeros(0)]
-            for data, offsets in text_chunks(batch.column(1)):
-                if model is None:
-                    scores.append(np.ones(len(offsets) - 1))
-                else:
-                    scores.append(model.score(*passage_measures(data, offsets)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], names=["doc_id", "score"])
+def scorer(model: GatedAttention | None):
+    """A function that scores an Arrow array of texts."""
 
-    return run
+    def score(texts: pa.Array) -> np.ndarray:
+        if model is None:
+            return np.ones(len(texts))
+        return np.concatenate([np.zeros(0), *(model.score(*passage_measures(*chunk)) for chunk in text_chunks(texts))])
+
+    return score
 
 
 def score_documents(docs: DataFrame, model: GatedAttention | None) -> DataFrame:
     """doc_id, score of every row."""
-    return id_text(docs).mapInArrow(_score(model), "doc_id long, score double")
+    return scored(docs, scorer(model))
+
+
+def keep_good(docs: DataFrame, model: GatedAttention | None, threshold: float = ACCEPTED) -> DataFrame:
+    """The rows, with all their columns, that score the threshold or more."""
+    return filtered(docs, scorer(model), lambda score: score >= threshold)
 
 
 def op8_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ _QUERIES = {
     "op4_token_files": "token_files",
     "op5_toxicity": "toxicity",
     "op6_decontamination": "decontamination",
+    "op7_html_extraction": "html_extraction",
     "op8_quality_mil": "quality_mil",
     "op9_packing": "packing",
     "op10_sharding": "sharding",

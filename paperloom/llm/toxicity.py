@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingle_kernel as K
-from .common import id_text, read_table
-from .labelled import held_out, training_rows
+from .common import read_table
+from .labelled import filtered, held_out, scored, training_rows
 
 TRAINING_ROWS = 12_000
 LEXICON_BOUND = 400
@@ -240,39 +240,45 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = T
     return Model(lexicon.astype(np.int64), w)
 
 
-def _score(model: Model | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.zeros(1 << BUCKET_BITS, np.int16)
-        if model is not None:
+def scorer(model: Model | None):
+    """A function that scores an Arrow array of texts."""
+    place = None
+
+    def score(texts: pa.Array) -> np.ndarray:
+        nonlocal place
+        if model is None:
+            return np.zeros(len(texts))
+        if place is None:
+            place = np.zeros(1 << BUCKET_BITS, np.int16)
             place[model.lexicon] = np.arange(1, len(model.lexicon) + 1)
-            own_inputs = min(OWN_INPUTS, len(model.lexicon))
-        for batch in batches:
-            scores = [np.zeros(0)]
-            for data, offsets in text_chunks(batch.column(1)):
-                n = len(offsets) - 1
-                if model is None:
-                    scores.append(np.zeros(n))
-                    continue
-                units, at = word_units(data, offsets)
-                entry = place[units]
-                word, column = np.nonzero(entry)
-                text = np.searchsorted(at, word, "right") - 1
-                pairs = np.unique(text * (LEXICON_BOUND + 1) + entry[word, column])
-                owner, which = pairs // (LEXICON_BOUND + 1), pairs % (LEXICON_BOUND + 1) - 1
-                distinct = np.bincount(owner, minlength=n).astype(float)
-                present = np.zeros((n, own_inputs))
-                present[owner[which < own_inputs], which[which < own_inputs]] = 1
-                n_words = np.diff(at)
-                x = classifier_inputs(distinct, distinct, n_words, _shares(data, offsets, n_words), present)
-                scores.append(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], names=["doc_id", "score"])
-
-    return run
+        own_inputs, scores = min(OWN_INPUTS, len(model.lexicon)), [np.zeros(0)]
+        for data, offsets in text_chunks(texts):
+            n = len(offsets) - 1
+            units, at = word_units(data, offsets)
+            entry = place[units]
+            word, column = np.nonzero(entry)
+            text = np.searchsorted(at, word, "right") - 1
+            pairs = np.unique(text * (LEXICON_BOUND + 1) + entry[word, column])
+            owner, which = pairs // (LEXICON_BOUND + 1), pairs % (LEXICON_BOUND + 1) - 1
+            distinct = np.bincount(owner, minlength=n).astype(float)
+            present = np.zeros((n, own_inputs))
+            present[owner[which < own_inputs], which[which < own_inputs]] = 1
+            n_words = np.diff(at)
+            x = classifier_inputs(distinct, distinct, n_words, _shares(data, offsets, n_words), present)
+            scores.append(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
+        return np.concatenate(scores)
+
+    return score
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, score of every row."""
-    return id_text(docs).mapInArrow(_score(model), "doc_id long, score double")
+    return scored(docs, scorer(model))
+
+
+def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score below the threshold."""
+    return filtered(docs, scorer(model), lambda score: score < threshold)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

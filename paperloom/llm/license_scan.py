@@ -88,17 +88,15 @@ def retrieve(docs: DataFrame, templates: DataFrame) -> DataFrame:
     bands = pieces.select("template", F.explode(F.array(*_minima(F.col("piece"), BLOCK))).alias("band")).distinct()
     singles = templates.where(~long).select("template", F.explode("own").alias("band")).distinct()
 
+    # one pass: each window gives its band values and its first block's shingles
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _shingles(F.col("text")).alias("run"))
-    hashed = hashed.where(F.size("run") > 0)
-    at = F.sequence(F.lit(1), n, F.lit(BLOCK))
-    windows = hashed.select("doc_id", "text_hash", F.explode(F.transform(at, lambda i: F.slice("run", i, 2 * BLOCK))).alias("w"))
-    by_band = (
-        windows.select("doc_id", "text_hash", F.array(*_minima(F.col("w"), 2 * BLOCK)).alias("m"))
-        .select("doc_id", "text_hash", F.explode("m").alias("band"))
-        .join(_small(bands), "band")
-    )
-    by_shingle = hashed.select("doc_id", "text_hash", F.explode("run").alias("band")).join(_small(singles), "band")
-    found = by_band.unionByName(by_shingle)
+    none = F.array().cast("array<array<bigint>>")
+    at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(BLOCK))
+    cut = F.when(n > 0, F.transform(at, lambda i: F.slice("run", i, 2 * BLOCK))).otherwise(none)
+    windows = hashed.select("doc_id", "text_hash", F.explode(cut).alias("w"))
+    keys = F.array(*_minima(F.col("w"), 2 * BLOCK), *[F.get("w", F.lit(k)) for k in range(BLOCK)])
+    probes = windows.select("doc_id", "text_hash", F.explode(keys).alias("band"))
+    found = probes.join(_small(bands.unionByName(singles)), "band")
     return found.groupBy("doc_id", "text_hash", "template").agg(F.count(F.lit(1)).alias("hits")).drop("hits")
 
 

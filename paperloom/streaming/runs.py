@@ -42,9 +42,17 @@ class Store:
 
 
 def process(pages: DataFrame, store: Store, run: str, scanned_at: str) -> DataFrame:
-    """Processes page records and writes all outputs; gives the run's summary."""
+    """Processes page records and writes all outputs; gives the run's summary.
+
+    The latest run may be repeated, as a stream does after a failure: every
+    output is replaced by the same rows.
+    """
     catalogue = store.table("catalogue", SKU_CATALOGUE)
-    before = store.table("dictionary", SKU_DICTIONARY)
+    # the dictionary as it was before the run: a replay starts from it again
+    kept = store.path(f"dictionary-before/{run}")
+    if not sources.exists(store.spark, kept):
+        sinks.replace(store.table("dictionary", SKU_DICTIONARY), kept)
+    before = store.spark.read.parquet(kept)
     segmented = segment.segment_pages(pages)
     resolved = resolve.resolve(segment.items(segmented), catalogue, before)
     documents, items = validate.validate(segment.documents(segmented), resolved, store.history(run))
@@ -52,10 +60,7 @@ def process(pages: DataFrame, store: Store, run: str, scanned_at: str) -> DataFr
     sinks.append(outputs.log_rows(documents, items, scanned_at), store.path("log"), run)
     summary = outputs.run_summary(segmented, documents, items, catalogue)
     sinks.append(summary, store.path("summaries"), run)
-    done = store.path(f"dictionary-runs/{run}")
-    if not sources.exists(store.spark, done):  # a replay must not count rows again
-        sinks.replace(cat.merge_dictionary(before, resolved, scanned_at), store.path("dictionary"))
-        store.spark.range(1).write.parquet(done)
+    sinks.replace(cat.merge_dictionary(before, resolved, scanned_at), store.path("dictionary"))
     sinks.append(validate.index_entries(documents, scanned_at), store.path("index"), run)
     return store.spark.read.parquet(store.path("summaries")).where(F.col("run") == run).drop("run")
 

@@ -1,7 +1,7 @@
 """Word-memoised encoding with a public ``tokenizers`` file.
 
-The vocabularies used here drop white space and never join characters across
-it, so the ids of a text are the ids of its ASCII-white-space-separated chunks
+A vocabulary that drops white space and case never joins characters across it
+(a file that does not is encoded text by text), so the ids of a text are the ids of its ASCII-white-space-separated chunks
 one after the other.  Each distinct chunk is encoded once by the ``tokenizers``
 library and remembered as little-endian uint32 bytes; a text is then one
 ``bytes.join``.  Other Unicode white space stays inside a chunk and is left to
@@ -91,6 +91,8 @@ class ChunkEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._chunks, self._parts = Memo(bound), Memo(bound)
+        ids = lambda text: self._tokenizer.encode(text, add_special_tokens=False).ids
+        self._by_chunk = ids("One  two,\nThree.") == [i for t in ("one", "two,", "three", ".") for i in ids(t)]
         # the shortcut must agree with the library on this file
         words = [b"thentionable", "\u00e9l\u00e8ve\u00e7\u00e4\u00f1\u00f3\u00df".encode(), b"a"]
         self._by_word = False
@@ -150,8 +152,11 @@ class ChunkEncoder:
 
     def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
         """The packed ids of each whole text; null and empty give no ids."""
+        if not self._by_chunk:  # white space or case matter to this file
+            return self._encode_each([t or b"" for t in texts])
         get = self._chunks.new.get
-        chunked = [t.split() if t else [] for t in texts]
+        # the library lower-cases; names of special tokens keep their case
+        chunked = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         found = [list(map(get, chunks)) for chunks in chunked]
         lacking = [place for place, ids in enumerate(found) if None in ids]
         if lacking:

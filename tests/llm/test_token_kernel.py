@@ -39,3 +39,13 @@ def test_equals_whole_text_encoding_with_any_memo_size():
 
 def test_null_is_empty():
     assert K.encoder(K.default_path()).encode(None) == b""
+
+
+def test_files_that_keep_case_and_space_are_encoded_whole():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = tokenizers.Tokenizer.from_file(path)
+    packed = K.ChunkEncoder(path).encode_many([t.encode() for t in CASES])
+    for text, ids in zip(CASES, packed):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids

@@ -21,12 +21,14 @@ from .common import SPACE_CLASS, id_text, read_table
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOSS_PERCENT = 50
-#: A line of at least so many words must end in one of END_MARKS.
+#: A line of at least so many words must end in one of END_MARKS or, cut off,
+#: have a sentence's end inside.
 LINE_WORDS = 4
 # Fixed values of the rules.
 SYMBOLS = "[#*$%&|<>]"
 SEPARATORS = " [|»›·•>] "
 END_MARKS = (".", "!", "?", ":", ";", "…", '"', "'", ")", "”", "»", "。")
+SENTENCE_MARKS = "[.!?…。]"
 BOILERPLATE = (
     "all rights reserved",
     "cookie",
@@ -92,7 +94,8 @@ def line_fails(line: Column) -> Column:
         symbols = F.regexp_count(x, F.lit(SYMBOLS))
         shouts = F.regexp_count(x, F.lit("!"))
         separators = F.regexp_count(x, F.lit(SEPARATORS))
-        unended = (n >= LINE_WORDS) & ~F.right(F.rtrim(x), F.lit(1)).isin(*END_MARKS)
+        ended = F.right(F.rtrim(x), F.lit(1)).isin(*END_MARKS) | x.rlike(SENTENCE_MARKS)
+        unended = (n >= LINE_WORDS) & ~ended
         stock = F.lit(False)
         for phrase in BOILERPLATE:
             stock = stock | low.contains(phrase)
@@ -156,7 +159,7 @@ judged AS (
     len(regexp_extract_all(line, '[#*$%&|<>]')) * 2 > n
     OR (n >= {LINE_WORDS} AND len(regexp_extract_all(line, '!')) * 2 > n)
     OR len(regexp_extract_all(line, ' [|»›·•>] ')) * 3 >= n
-    OR (n >= {LINE_WORDS} AND right(rtrim(line, ' '), 1) NOT IN ({_MARKS}))
+    OR (n >= {LINE_WORDS} AND right(rtrim(line, ' '), 1) NOT IN ({_MARKS}) AND NOT regexp_matches(line, '{SENTENCE_MARKS}'))
     OR {_STOCK} AS fails
   FROM lines WHERE n > 0),
 line_counts AS (

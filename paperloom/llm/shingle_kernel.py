@@ -15,7 +15,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes of text that are hashed at once (some ten times as much memory).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

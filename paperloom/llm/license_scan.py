@@ -58,7 +58,10 @@ def _shingles(text: Column) -> Column:
 
 def _minima(shingles: Column, size: int) -> list[Column]:
     """Band values of up to ``size`` shingles of an array column."""
-    cells = [F.get(shingles, F.lit(k)) for k in range(size)]
+    return _band_values([F.get(shingles, F.lit(k)) for k in range(size)])
+
+
+def _band_values(cells: list[Column]) -> list[Column]:
     return [F.least(*[c.bitwiseXOR(_mask(b)) for c in cells]) for b in range(BANDS)]
 
 
@@ -94,8 +97,13 @@ def retrieve(docs: DataFrame, templates: DataFrame) -> DataFrame:
     at = F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(BLOCK))
     cut = F.when(n > 0, F.transform(at, lambda i: F.slice("run", i, 2 * BLOCK))).otherwise(none)
     windows = hashed.select("doc_id", "text_hash", F.explode(cut).alias("w"))
-    keys = F.array(*_minima(F.col("w"), 2 * BLOCK), *[F.get("w", F.lit(k)) for k in range(BLOCK)])
-    probes = windows.select("doc_id", "text_hash", F.explode(keys).alias("band"))
+    # cells become columns first, so that each is taken from its array once
+    names = [f"c{k}" for k in range(2 * BLOCK)]
+    cells = windows.select("doc_id", "text_hash", *[F.get("w", F.lit(k)).alias(c) for k, c in enumerate(names)])
+    values = _band_values([F.col(c) for c in names])
+    banded = cells.select("doc_id", "text_hash", *names[:BLOCK], *[v.alias(f"b{k}") for k, v in enumerate(values)])
+    keys = F.array(*[f"b{k}" for k in range(BANDS)], *names[:BLOCK])
+    probes = banded.select("doc_id", "text_hash", F.explode(keys).alias("band"))
     found = probes.join(_small(bands.unionByName(singles)), "band")
     return found.groupBy("doc_id", "text_hash", "template").agg(F.count(F.lit(1)).alias("hits")).drop("hits")
 

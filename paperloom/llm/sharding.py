@@ -1,19 +1,27 @@
 """Operator 10: shards by balanced label propagation, in DataFrame operations.
 
 Documents that share a link hub (here: the digest of an equal text) want to be
-in one shard.  Labels start dealt evenly; in each round a join counts every
-hub's members by shard, each document asks for the shard where most of its
-neighbours are, and movers are accepted up to what the shard's capacity leaves
-after its linked documents.  A shard that is full is closed to newcomers, so a
-group larger than a shard goes on to the shard that has most of the rest.
-Documents without links then fill the shards to their exact capacities.
+in one shard.  Labels start by hub: a plan made from the sizes of the hubs and
+their counts gives each hub that fits a shard a place as a whole, and hubs
+larger than a shard the shards left empty for them and what the others leave.
+Then, in each round, a join counts every hub's members by shard, each document
+asks for the shard where most of its neighbours are, and movers are accepted up
+to what the shard's capacity leaves after its linked documents.  Rounds go on
+until none accepts a move or brings more neighbours together.  Documents
+without links then fill the shards to their exact capacities.
+
+A hub that fits a shard is cut only if, larger hubs first and each in the
+fullest shard that holds it, no shard is left with room for it; these are fewer
+than the shards.
 
 Law ``rows``: capacities are row counts that differ by one at most, and both
 steps keep to them, so counts are at most one apart.
 
 No group meets in one task: counts combine before the shuffle, joins on a hub
 are plain equi-joins that adaptive execution splits, and ranks are taken
-within the partitions of the written table, whose totals are added up.
+within the partitions of the written table, whose totals are added up.  The
+driver sees one row per distinct hub size (at most sqrt(2 n) for n rows) and
+the hubs that are cut.
 
 Edge cases: a null text has no links and size 1; empty texts equal each other;
 null or repeated ids are rows like others; other columns are not read; an
@@ -28,7 +36,6 @@ from pyspark.sql import functions as F
 from .common import id_text, read_table, stored
 
 N_SHARDS = 8
-ROUNDS = 4
 #: monotonically_increasing_id() has the partition above this bit.
 _PART_BIT = 33
 
@@ -67,25 +74,106 @@ def _filled(rank: F.Column, room: list[int]) -> F.Column:
     return shard.otherwise(len(room) - 1)
 
 
-def propagate(links: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
+def _packed(classes: list[tuple[int, int]], room: list[int]) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Places hubs whole, in the fullest shard that holds them; takes ``room``.
+
+    ``classes``: (size, hubs of that size).  Gives (size, low, high, shard) for
+    the hubs ranked from low to below high, and how many hubs are left over.
+    """
+    spans, left = [], 0
+    for size, count in sorted(classes, reverse=True):
+        low = 0
+        for s in sorted(range(len(room)), key=lambda s: room[s]):
+            high = min(count, low + room[s] // size)
+            if high > low:
+                spans.append((size, low, high, s))
+                room[s] -= size * (high - low)
+                low = high
+        left += count - low
+    return spans, left
+
+
+def plan(classes: list[tuple[int, int]], capacity: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
+    """Spans of whole hubs, the room they leave and the shards kept for others.
+
+    Hubs larger than a shard get as many whole shards as leave the fewest other
+    hubs cut, so they stay together only where that costs no hub that fits.
+    """
+    largest = max(capacity)
+    fitting = [(n, c) for n, c in classes if n <= largest]
+    over = sum(n * c for n, c in classes if n > largest)
+    order = sorted(range(len(capacity)), key=lambda s: -capacity[s])
+    best = None
+    for kept in range(len(order), -1, -1):
+        if sum(capacity[s] for s in order[:kept]) > over:
+            continue
+        room = [0 if s in order[:kept] else c for s, c in enumerate(capacity)]
+        spans, left = _packed(fitting, room)
+        if best is None or left < best[0]:
+            best = left, spans, room, order[:kept]
+    _, spans, room, kept = best
+    for s in kept:
+        room[s] = capacity[s]
+    return spans, room, kept
+
+
+def _dealt(cut: list[tuple], capacity: list[int], room: list[int], kept: list[int]) -> list[tuple]:
+    """(hub, low, high, shard) for the members of hubs that no shard holds."""
+    spans, room = [], list(room)
+    largest = max(capacity)
+    for hub, n in sorted(cut, key=lambda r: (r[1] > largest, -r[1], bytes(str(r[0]), "utf-8"))):
+        own = kept if n > largest else []
+        rest = sorted((s for s in range(len(room)) if s not in kept), key=lambda s: -room[s])
+        low = 0
+        for s in [*own, *rest, *kept]:
+            high = min(n, low + room[s])
+            if high > low:
+                spans.append((hub, low, high, s))
+                room[s] -= high - low
+                low = high
+    return spans
+
+
+def _first_labels(links: DataFrame, capacity: list[int]) -> DataFrame:
+    """node, shard: every hub that the plan has room for lies whole in a shard."""
+    spark = links.sparkSession
+    homes = stored(links.groupBy("node").agg(F.min("hub").alias("home")), "shard-homes")
+    sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
+    hubs = stored(sizes.withColumn("node", F.monotonically_increasing_id()), "shard-hubs")
+    classes = [(r["n"], r["c"]) for r in hubs.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()]
+    spans, room, kept = plan(classes, capacity)
+    table = F.broadcast(spark.createDataFrame(spans, "n long, low long, high long, shard int"))
+    ranked = _ranked(hubs, "n")
+    at = (ranked["n"] == table["n"]) & (ranked["rank"] >= table["low"]) & (ranked["rank"] < table["high"])
+    placed = stored(ranked.join(table, at, "left").select("home", ranked["n"], "shard"), "shard-hub-labels")
+    whole = homes.join(placed.where("shard is not null").select("home", "shard"), "home").select("node", "shard")
+    cut = [(r["home"], r["n"]) for r in placed.where("shard is null").select("home", "n").collect()]
+    if not cut:
+        return whole
+    home = homes.schema["home"].dataType.simpleString()
+    pieces = F.broadcast(spark.createDataFrame(_dealt(cut, capacity, room, kept), f"home {home}, low long, high long, shard int"))
+    members = _ranked(homes.join(F.broadcast(pieces.select("home").distinct()), "home"), "home")
+    at = (members["home"] == pieces["home"]) & (members["rank"] >= pieces["low"]) & (members["rank"] < pieces["high"])
+    return whole.unionByName(members.join(pieces, at).select("node", "shard"))
+
+
+def _together(state: DataFrame) -> int:
+    """Pairs of a hub's members in one shard, both orders and selves counted."""
+    tally = state.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("w"))
+    return tally.agg(F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0)).alias("pairs")).first()["pairs"]
+
+
+def propagate(links: DataFrame, capacity: list[int]) -> DataFrame:
     """Labels for ``links(node, hub)``: node and shard, one row per linked node.
 
     ``capacity``: the most linked nodes of each shard; their sum must cover all.
     ``node`` must come from ``monotonically_increasing_id`` of a written table.
     """
-    n_shards = len(capacity)
-    nodes = links.select("node").distinct()
-    total = nodes.count()
-    deal = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    start = [min(d, c) for d, c in zip(deal, capacity)]
-    for s in range(n_shards):
-        start[s] += min(capacity[s] - start[s], total - sum(start))
-    # dealing by turns spreads every group over the shards evenly at first
-    first = _ranked(nodes).select("node", _filled(F.col("rank"), start).cast("int").alias("shard"))
-    state = stored(links.join(first, "node"), "shard-labels")
-    for _ in range(rounds):
+    state = stored(links.join(_first_labels(links, capacity), "node"), "shard-labels")
+    together = _together(state)
+    while True:
         labels = state.dropDuplicates(["node"])
-        room = [c - n for c, n in zip(capacity, _counts(labels, n_shards))]
+        room = [c - n for c, n in zip(capacity, _counts(labels, len(capacity)))]
         tally = state.groupBy("hub", F.col("shard").alias("to")).agg(F.count(F.lit(1)).alias("w"))
         votes = (
             state.join(tally, "hub")
@@ -96,11 +184,18 @@ def propagate(links: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> Da
         choice = F.struct("w", F.xxhash64("hub", "to"))
         wishes = votes.groupBy("node", "shard").agg(F.max_by("to", choice).alias("to")).where("to <> shard")
         ranked = _ranked(wishes.select("node", "to"), "to")
-        moves = ranked.where(F.col("rank") < _of_shard(room, "to")).select("node", "to")
-        state = stored(
+        moves = stored(ranked.where(F.col("rank") < _of_shard(room, "to")).select("node", "to"), "shard-moves")
+        if moves.isEmpty():
+            break
+        moved = stored(
             state.join(moves, "node", "left").select("node", "hub", F.coalesce("to", "shard").alias("shard")),
             "shard-labels",
         )
+        # the count grows with every round that is kept, so rounds end
+        now = _together(moved)
+        if now <= together:
+            break
+        state, together = moved, now
     return state.dropDuplicates(["node"]).select("node", "shard")
 
 
@@ -111,7 +206,7 @@ def cut_links(assigned: DataFrame) -> DataFrame:
     return per_hub.agg(F.coalesce(F.sum("cut"), F.lit(0)).alias("cut_links"))
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, hub, shard, slot of every row of ``docs``."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     base = stored(
@@ -128,7 +223,7 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROU
     links = stored(base.join(shared.select("hub"), "hub").select("node", "hub"), "shard-links")
     total = base.count()
     capacity = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    labels = stored(propagate(links, capacity, rounds), "shard-linked")
+    labels = stored(propagate(links, capacity), "shard-linked")
     room = [c - n for c, n in zip(capacity, _counts(labels, n_shards))]
     free = base.join(labels, "node", "left_anti").select("node")
     filled = _ranked(free).select("node", _filled(F.col("rank"), room).cast("int").alias("shard"))

@@ -296,6 +296,20 @@ def test_shards_are_even_and_keep_groups(make, spark):
     assert sharding.shard_documents(make([])).count() == 0
 
 
+@pytest.mark.parametrize("hot, groups", [(0, {2: 215}), (160, {2: 100, 20: 3}), (160, {2: 15, 20: 5}), (150, {36: 8})])
+def test_no_group_that_fits_a_shard_is_cut(make, hot, groups):
+    texts = ["hot"] * hot + [f"copy {n} {g}" for n, count in groups.items() for g in range(count) for _ in range(n)]
+    texts += [f"text {k}" for k in range(480 - len(texts))]
+    random.Random(5).shuffle(texts)
+    got = sharding.shard_documents(make(list(enumerate(texts)))).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [60] * 8
+    shards = {}
+    for r in got:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert [t for t, s in shards.items() if len(s) > 1 and t != "hot"] == []
+    assert len(shards.get("hot", ())) <= (3 if 36 not in groups else 8)
+
+
 def test_leaks_equal_brute_force(make, spark):
     rng = random.Random(12)
     items = [(k, " ".join(prose(rng, rng.choice([3, 5, 12, 40])))) for k in range(30)] + [(50, None), (51, " ")]

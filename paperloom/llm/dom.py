@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object canvas".split())
+RAW = frozenset("script style textarea title".split())
+#: In what these hold, "/>" ends a raw element too.
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td "
@@ -94,7 +96,8 @@ def parse(html: str) -> Page:
                 while nodes[stack.pop()].tag != tag:
                     pass
             continue
-        if tag in RAW:
+        closed = found[0].endswith("/>")
+        if tag in RAW and not (closed and any(nodes[n].tag in FOREIGN for n in stack[1:])):
             ending = re.compile(rf"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(html, at)
             at = ending.end() if ending else end
             continue
@@ -106,7 +109,7 @@ def parse(html: str) -> Page:
         parent = stack[-1]
         nodes.append(Node(tag, parent, nodes[parent].depth + 1, names))
         nodes[parent].children.append(len(nodes) - 1)
-        if tag not in VOID and not found[0].endswith("/>"):
+        if tag not in VOID and not closed:
             stack.append(len(nodes) - 1)
     flush()
     return Page(nodes, blocks)

@@ -436,6 +436,20 @@ def test_html_extraction(spark):
     assert found[1, want] == 2 and found[2, ""] == 1 and found[None, ""] == 1 and len(got) == 6
 
 
+def test_embedded_elements_drop_no_article_text():
+    model = html_extraction.trained()
+    title, first, second = "A title of some words", "First thing, with a bold word. And another sentence here, of some length.", "The second paragraph goes on to its end. It has more text, and then it ends."
+    nav = "<html><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>More</a></ul></nav>"
+    article = f"<article><h1>{title}</h1><p>{first}</p>%s<p>{second}</p></article></body></html>"
+    want = [title, first, second]
+    for embedded in ("", '<svg class="icon" viewBox="0 0 1 1"/>', "<math/>", "<svg><title/><path d='M0 0'/></svg>", "<object data=a>", "<canvas>", "<select>", "<iframe src=a>", "<svg>"):
+        for page in (nav + embedded + article % "", nav + article % embedded):
+            assert html_extraction.extract_pages([page], model)[0].split("\n\n") == want, embedded
+    for inside in ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "<object data=a><p>Some words that stand for it, in a sentence. And one more.</p></object>"):
+        text = html_extraction.extract_pages([nav + article % inside], model)[0]
+        assert all(w in text for w in [*want, re.sub("<[^>]*>", "", inside)]), inside
+
+
 def test_made_up_pages_are_extracted():
     from paperloom.llm.dom import parse
 

@@ -22,7 +22,8 @@ Reader = Callable[[np.ndarray, str], tuple[str | None, float]]
 
 SCHEMA = (
     "path string, width int, height int, grid_found boolean, skew_deg double, is_header_page boolean, "
-    "columns array<int>, rows array<struct<band_index:int,item_barcode:string,sku:string,quantity:bigint,quantity_raw:string>>"
+    "columns array<int>, rows array<struct<band_index:int,item_barcode:string,sku:string,quantity:bigint,quantity_raw:string>>, "
+    "error string"
 )
 _BARCODE = re.compile(r"[0-9]{13}")
 #: A header page's table begins below this share of the page.
@@ -98,7 +99,7 @@ def extract_page(rgb: np.ndarray, reader: Reader = no_reader) -> dict:
 
 
 def extract_pages(files: DataFrame, reader: Reader = no_reader) -> DataFrame:
-    """Records of ``files(path, content)``: BMP here, other formats as null rows.
+    """Records of ``files(path, content)``; ``error`` names what is not BMP and so was not read.
 
     Set ``spark.sql.execution.arrow.maxRecordsPerBatch`` to 1 for large scans.
     """
@@ -107,7 +108,7 @@ def extract_pages(files: DataFrame, reader: Reader = no_reader) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 data = bytes(content)
-                record = extract_page(decode_bmp(data).rgb, reader) if is_bmp(data) else {"grid_found": False, "rows": [], "columns": []}
-                yield pd.DataFrame([{"path": path, "width": 0, "height": 0, "skew_deg": 0.0, "is_header_page": False} | record])
+                record = extract_page(decode_bmp(data).rgb, reader) if is_bmp(data) else {"grid_found": False, "rows": [], "columns": [], "error": "not a BMP image"}
+                yield pd.DataFrame([{"path": path, "width": 0, "height": 0, "skew_deg": 0.0, "is_header_page": False, "error": None} | record])
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)

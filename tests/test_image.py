@@ -89,3 +89,10 @@ def test_extract_stage(spark):
     files = spark.createDataFrame([("a.bmp", bytearray(bmp.encode_bmp(draw()[0]))), ("b.txt", bytearray(b"x"))], "path string, content binary")
     got = {r.path: r for r in extract.extract_pages(files).collect()}
     assert len(got["a.bmp"].rows) == 8 and not got["b.txt"].grid_found
+
+
+def test_files_that_are_not_read_say_so(spark):
+    png = bytearray(b"\x89PNG\r\n\x1a\n")
+    files = spark.createDataFrame([("a.bmp", bytearray(bmp.encode_bmp(draw()[0]))), ("b.png", png)], "path string, content binary")
+    got = {r.path: r.error for r in extract.extract_pages(files).collect()}
+    assert got == {"a.bmp": None, "b.png": "not a BMP image"}

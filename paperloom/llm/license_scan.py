@@ -16,7 +16,7 @@ the template's distinct shingles that occur in the whole text must be 0.75 or
 more.  Only the pairs and the texts they name move; windows never shuffle.
 
 Edge cases: null, empty and shorter texts match nothing; templates of fewer
-than five words cannot be told from prose and are refused; repeated rows each
+than five words are refused (``scan_notices`` finds those, word by word); repeated rows each
 match; null ids stay null; other columns are not read; empty tables give no
 rows.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, id_text, read_table, stored
-from .license_templates import TEMPLATES
+from .license_templates import NOTICES, TEMPLATES
 
 WIDTH = 5
 BLOCK = 8
@@ -136,6 +136,26 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     return verify(texts, candidates, known)
 
 
+def scan_notices(docs: DataFrame, notices=NOTICES) -> DataFrame:
+    """Like ``scan_licenses`` for texts of one to four words, as whole words in a row.
+
+    A notice is one shingle of its own width; every window of a text is compared.
+    """
+
+    def spaced(text: Column) -> Column:
+        words = F.array_remove(F.split(F.lower(text), f"{SPACE_CLASS}+"), "")
+        return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+    for name, text in notices:
+        if not 1 <= len(text.split()) < WIDTH:
+            raise ValueError(f"notice {name} has not one to {WIDTH - 1} words")
+    texts = id_text(docs).where("text is not null").select("doc_id", spaced(F.col("text")).alias("spaced"))
+    found = [F.when(F.contains("spaced", spaced(F.lit(text))), F.lit(name)) for name, text in notices]
+    one = F.lit(1).cast("long")
+    hits = texts.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("template"))
+    return hits.select("doc_id", "template", one.alias("n_matched"), one.alias("n_shingles"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 

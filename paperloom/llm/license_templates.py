@@ -53,3 +53,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
 )
+
+#: Notices under five words, which are looked for word by word.
+NOTICES: tuple[tuple[str, str], ...] = (("all-rights-reserved", "All rights reserved."),)

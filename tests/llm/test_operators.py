@@ -170,6 +170,15 @@ def test_license_scan_equals_brute_force(make):
         license_scan.scan_licenses(make(rows), [("short", "all rights reserved")])
 
 
+def test_notices_under_five_words_are_found(make):
+    rows = [(1, "x\n\tAll  RIGHTS\nreserved. y"), (2, "all rights reserved."), (3, "overall rights reserved."), (4, "all rights reserved.x"), (5, "all rights are reserved.")]
+    rows += [(2, "all rights reserved."), *[(400 + i, t) for i, (_, t) in enumerate(EDGES)]]
+    got = license_scan.scan_notices(make(rows)).collect()
+    assert Counter(map(tuple, got)) == {(1, "all-rights-reserved", 1, 1): 1, (2, "all-rights-reserved", 1, 1): 2}
+    with pytest.raises(ValueError):
+        license_scan.scan_notices(make(rows), [("long", "one two three four five")])
+
+
 def brute_rules(text):
     text = text or ""
     plain = [w for w in SPACE.split(text) if w]

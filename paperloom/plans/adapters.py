@@ -50,7 +50,11 @@ def catalogue_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some of the parts that the catalogue lacks, confirmed or from OCR."""
+    """Some of the parts that the catalogue lacks, confirmed or from OCR.
+
+    Three quarters of those parts are left out by key, so that some barcodes are
+    unknown to both tables and resolution has rows without a SKU to report.
+    """
     rows = table(spark, sf_dir, "part").where("p_size >= 40 and p_partkey % 4 = 0")
     return rows.select(
         _padded("p_partkey", 13).alias("barcode"),

@@ -79,6 +79,13 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return units, np.searchsorted(begin, offsets)
 
 
+def _own(units: np.ndarray) -> np.ndarray:
+    """Which cells of ``word_units`` count: a short word's prefixes are itself."""
+    own = units != units[:, :1]
+    own[:, 0] = True
+    return own
+
+
 def _shares(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Capitals per byte, exclamation marks and symbols per word, by text."""
     found = []
@@ -105,13 +112,15 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        units, shares, near, near2, n_words = [], [], [], [], []
+        units, counts, shares, near, near2, n_words = [], [], [], [], [], []
         for data, offsets in text_chunks(batch.column(0)):
             found, at = word_units(data, offsets)
+            counted = _own(found)
             shares += [row.astype("<f4").tobytes() for row in _shares(data, offsets, np.diff(at))]
             for a, b in zip(at[:-1], at[1:], strict=True):
-                own = np.unique(found[a:b])
+                own, times = np.unique(found[a:b][counted[a:b]], return_counts=True)
                 units.append(own.astype("<i4").tobytes())
+                counts.append(times.astype("<i4").tobytes())
                 n_words.append(int(b - a))
                 # near copies mostly share their least hashes of three words
                 words = found[a:b, 0].astype(np.uint64)
@@ -119,8 +128,8 @@ def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 near.append(int(runs.min()) if len(runs) else len(n_words))
                 near2.append(int((runs ^ np.uint64(0x5555555555555555)).min()) if len(runs) else len(n_words))
         columns = [batch.column(1), pa.array(near, pa.int64()), pa.array(near2, pa.int64()), pa.array(n_words, pa.int64())]
-        columns += [pa.array(units, pa.binary()), pa.array(shares, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["y", "near", "near2", "n_words", "units", "shares"])
+        columns += [pa.array(units, pa.binary()), pa.array(counts, pa.binary()), pa.array(shares, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["y", "near", "near2", "n_words", "units", "counts", "shares"])
 
 
 @dataclass
@@ -196,7 +205,7 @@ OWN_INPUTS = 64
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = TRAINING_ROWS) -> Model | None:
     """Fits lexicon, label model and classifier; None without both classes."""
-    schema = "y int, near long, near2 long, n_words long, units binary, shares binary"
+    schema = "y int, near long, near2 long, n_words long, units binary, counts binary, shares binary"
     rows = training_rows(docs, labels, label, bound).select("text", "y").mapInArrow(_training_features, schema).toPandas()
     rows = rows.sort_values(["near", "near2", "y", "n_words", "units"])
     rows = rows.drop_duplicates(["near", "y"]).drop_duplicates(["near2", "y"])
@@ -217,17 +226,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = T
     place = np.full(size, -1)
     place[lexicon] = np.arange(len(lexicon))
     present = np.zeros((len(y), len(lexicon)), np.float32)
-    for row, u in enumerate(units):
+    hits = np.zeros(len(y))
+    for row, (u, times) in enumerate(zip(units, rows["counts"], strict=True)):
         found = place[u]
         present[row, found[found >= 0]] = 1
+        hits[row] = np.frombuffer(times, "<i4")[found >= 0].sum()
     n_words = rows["n_words"].to_numpy()
     shares = np.stack([np.frombuffer(s, "<f4") for s in rows["shares"]]).astype(float)
     # distinct entries stand in for distinct words, of which each has a few units
     distinct = present.sum(1)
-    votes = np.concatenate([present, pattern_votes(distinct, distinct, n_words, shares)], 1)
+    votes = np.concatenate([present, pattern_votes(hits, distinct, n_words, shares)], 1)
     start = np.where(distinct >= 3, 0.95, np.where(distinct > 0, 0.6, 0.02))
     q, _ = label_model(votes, start)
-    x = classifier_inputs(distinct, distinct, n_words, shares, present[:, :OWN_INPUTS])
+    x = classifier_inputs(hits, distinct, n_words, shares, present[:, :OWN_INPUTS])
     w = logistic(x, q)
     # the intercept that errs least on the training fold's labels
     margin = x @ w
@@ -256,15 +267,16 @@ def scorer(model: Model | None):
             n = len(offsets) - 1
             units, at = word_units(data, offsets)
             entry = place[units]
-            word, column = np.nonzero(entry)
+            word, column = np.nonzero(entry * _own(units))
             text = np.searchsorted(at, word, "right") - 1
             pairs = np.unique(text * (LEXICON_BOUND + 1) + entry[word, column])
             owner, which = pairs // (LEXICON_BOUND + 1), pairs % (LEXICON_BOUND + 1) - 1
             distinct = np.bincount(owner, minlength=n).astype(float)
+            hits = np.bincount(text, minlength=n).astype(float)
             present = np.zeros((n, own_inputs))
             present[owner[which < own_inputs], which[which < own_inputs]] = 1
             n_words = np.diff(at)
-            x = classifier_inputs(distinct, distinct, n_words, _shares(data, offsets, n_words), present)
+            x = classifier_inputs(hits, distinct, n_words, _shares(data, offsets, n_words), present)
             scores.append(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
         return np.concatenate(scores)
 

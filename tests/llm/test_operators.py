@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paperloom.llm import (
@@ -398,6 +399,17 @@ def test_classifiers_without_labels(make, spark):
     assert toxicity.drop_toxic(docs, None).columns == docs.columns
 
 
+def test_every_occurrence_of_an_entry_counts():
+    bad = np.frombuffer(b"xy", np.uint8)
+    units, _ = toxicity.word_units(bad, np.array([0, 2]))
+    lexicon = np.unique(units).astype(np.int64)  # a short word is one entry
+    assert len(lexicon) == 1
+    weights = np.zeros(6 + len(lexicon) + 1)
+    weights[0] = 1  # log1p of the hits
+    scores = toxicity.scorer(toxicity.Model(lexicon, weights))(pa.array(["a b", "a xy b", "xy a xy b XY", None]))
+    assert np.exp(np.log(scores / (1 - scores))) == pytest.approx([1, 2, 4, 1])
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(3)
     y = rng.random(4000) < 0.3

@@ -46,14 +46,44 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Removes the shuffle files of a query when it ends; its table is written by then.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it: cuts the lineage."""
     spark = df.sparkSession
     path = path or scratch(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Intermediate tables in the shared folder, removed when their successors are written."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._held: list[tuple[DataFrame, str]] = []
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch(self._spark, label)
+        table = stored(df, label, path)
+        self._held.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Nothing may read these tables (as ``put`` returned them) any more."""
+        for table in tables:
+            for held in [h for h in self._held if h[0] is table]:
+                self._held.remove(held)
+                discard(self._spark, held[1])
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text; other columns never matter."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

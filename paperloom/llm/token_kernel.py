@@ -1,12 +1,16 @@
 """Word-memoised encoding with a public ``tokenizers`` file.
 
-A vocabulary that drops white space and case never joins characters across it
-(a file that does not is encoded text by text), so the ids of a text are the ids of its ASCII-white-space-separated chunks
-one after the other.  Each distinct chunk is encoded once by the ``tokenizers``
-library and remembered as little-endian uint32 bytes; a text is then one
-``bytes.join``.  Other Unicode white space stays inside a chunk and is left to
-the library.  A chunk that is a word followed by plain punctuation shares the
-ids of the word and of the punctuation, which the pre-tokenizer separates too.
+A file whose steps are exactly ``WORD_STEPS`` drops white space and case and never
+joins characters across white space, so the ids of a text are the ids of its
+ASCII-white-space-separated chunks one after the other; any other file is encoded
+text by text.  Each distinct chunk is encoded once by the ``tokenizers`` library
+and remembered as little-endian uint32 bytes; a text is then one ``bytes.join``.
+Other Unicode white space stays inside a chunk and is left to the library.  A
+chunk that is a word followed by plain punctuation shares the ids of the word and
+of the punctuation where the library itself parts them after the word's last
+letter: composition or lower-casing may turn a letter into one with a mark, which
+the pre-tokenizer joins to the punctuation.  ASCII letters are lower-cased ahead
+but where a combining mark could make another letter of the small one.
 
 Memory is bounded: a memo that reaches its bound becomes the old generation,
 from which chunks still in use move back; results never depend on the memo.
@@ -14,6 +18,7 @@ from which chunks still in use move back; results never depend on the memo.
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from unicodedata import is_normalized
@@ -24,6 +29,49 @@ MEMO_BOUND = 400_000
 LONGEST_REMEMBERED = 100
 #: Punctuation that the pre-tokenizer splits from a letter or digit before it.
 TAIL = b".,;:!?*#$%&"
+#: The steps of a file for which chunks may be encoded apart.
+WORD_STEPS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+def parts_at_space(path: str) -> bool:
+    """Whether the file's own steps never join what white space parts, nor heed case."""
+    with open(path, encoding="utf-8") as file:
+        steps = json.load(file)
+    special = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in steps["added_tokens"])
+    return special and steps["model"]["type"] == "BPE" and all(steps.get(k) == v for k, v in WORD_STEPS.items())
+
+
+def keeps_case(text: bytes) -> bool:
+    """Whether lower-casing ASCII ahead could change ids.
+
+    Special tokens keep their case; a capital and a combining mark (U+0300 to
+    U+036F, lead bytes CC and CD) may stay apart where the small letter joins it.
+    """
+    return b"<|" in text or b"\xcc" in text or b"\xcd" in text
 
 
 class Memo:
@@ -47,20 +95,6 @@ class Memo:
         return found
 
 
-def word_and_tail(chunk: bytes) -> tuple[bytes, bytes] | None:
-    """(lower-cased word, punctuation) where both encode independently."""
-    word = chunk.rstrip(TAIL)
-    if not word or b"<|" in chunk:
-        return None
-    last = word[-1]
-    if last < 128:
-        if not (48 <= last <= 57 or 65 <= last <= 90 or 97 <= last <= 122):
-            return None
-    elif not word.decode("utf-8")[-1].isalpha():
-        return None
-    return word.lower(), chunk[len(word) :]
-
-
 def _byte_letters() -> dict[int, str]:
     """The letters that stand for bytes in byte-level vocabularies, by rule."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -91,8 +125,8 @@ class ChunkEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._chunks, self._parts = Memo(bound), Memo(bound)
-        ids = lambda text: self._tokenizer.encode(text, add_special_tokens=False).ids
-        self._by_chunk = ids("One  two,\nThree.") == [i for t in ("one", "two,", "three", ".") for i in ids(t)]
+        self._by_chunk = parts_at_space(path)
+        self._letters: dict[str, bool] = {}
         # the shortcut must agree with the library on this file
         words = [b"thentionable", "\u00e9l\u00e8ve\u00e7\u00e4\u00f1\u00f3\u00df".encode(), b"a"]
         self._by_word = False
@@ -100,6 +134,31 @@ class ChunkEncoder:
         self._by_word = True
         self._by_word = self._encode_each(words) == plain
 
+    def _ends_word(self, letter: str) -> bool:
+        """Whether the library parts punctuation from a word with this last letter."""
+        known = self._letters.get(letter)
+        if known is None:
+            both, alone, mark = (
+                self._tokenizer.encode(text, add_special_tokens=False).ids for text in (letter + ".", letter, ".")
+            )
+            known = self._letters[letter] = letter.isalpha() and both == alone + mark
+        return known
+
+    def _word_and_tail(self, chunk: bytes) -> tuple[bytes, bytes] | None:
+        """(lower-cased word, punctuation) where both encode independently."""
+        word = chunk.rstrip(TAIL)
+        if not word or keeps_case(chunk):
+            return None
+        last = word[-1]
+        if last < 128:
+            if not (48 <= last <= 57 or 65 <= last <= 90 or 97 <= last <= 122):
+                return None
+        else:
+            text = word.decode("utf-8")
+            if not self._ends_word(text[-1]) or not is_normalized("NFC", text):
+                return None
+        return word.lower(), chunk[len(word) :]
+
     def _encode_each(self, parts: list[bytes]) -> list[bytes]:
         """Ids of each part; plain lower-case words go straight to the merges."""
         out: list[bytes] = [b""] * len(parts)
@@ -139,7 +198,7 @@ class ChunkEncoder:
         """Ids of chunks that the new generation lacks; remembers them."""
         old = self._chunks.old
         out = {c: old[c] for c in unknown if c in old}
-        splits = {c: word_and_tail(c) or (c, b"") for c in unknown if c not in out}
+        splits = {c: self._word_and_tail(c) or (c, b"") for c in unknown if c not in out}
         wanted = {part for split in splits.values() for part in split}
         wanted.discard(b"")
         parts = self._parts_of(wanted)
@@ -155,8 +214,7 @@ class ChunkEncoder:
         if not self._by_chunk:  # white space or case matter to this file
             return self._encode_each([t or b"" for t in texts])
         get = self._chunks.new.get
-        # the library lower-cases; names of special tokens keep their case
-        chunked = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        chunked = [(t if keeps_case(t) else t.lower()).split() if t else [] for t in texts]
         found = [list(map(get, chunks)) for chunks in chunked]
         lacking = [place for place, ids in enumerate(found) if None in ids]
         if lacking:

@@ -49,3 +49,37 @@ def test_files_that_keep_case_and_space_are_encoded_whole():
     packed = K.ChunkEncoder(path).encode_many([t.encode() for t in CASES])
     for text, ids in zip(CASES, packed):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def _whole(tokenizer, texts):
+    return [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_every_letter_of_unicode_before_every_mark():
+    path = K.default_path()
+    whole, encoder = tokenizers.Tokenizer.from_file(path), K.ChunkEncoder(path)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    rare = [c for c in letters if whole.encode(c + ".", add_special_tokens=False).ids != whole.encode(c + " .", add_special_tokens=False).ids]
+    assert "\u0130" in rare and "\u0958" in rare
+    some = letters[:: len(letters) // 4000]
+    marks = K.TAIL.decode()
+    texts = [f"{c}{m} A{c}{m}{m}b" for c in rare + some for m in marks] + [f"x{c}." for c in letters]
+    texts += [f"{c}{m}." for c in "ABHIJKTWYhjtwy" for m in map(chr, range(0x300, 0x370))]
+    packed = encoder.encode_many([t.encode() for t in texts])
+    for text, ids, want in zip(texts, packed, _whole(whole, texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == want, text
+
+
+def test_mixed_scripts_with_each_shipped_file():
+    import public_tokenizers
+
+    rng = random.Random(11)
+    pieces = "GELD\u0130. ANKARAL\u0130! T\u00dcRK\u0130YES\u0130, \u0915\u093c. \u0958? H\u0331. T\u0308 J\u030c; \u05d0\ufb31: \u1112\u1161\u11ab. \uff21\uff0e 'S 'll \u03a3\u03a3. <|endoftext|>. \u2126; \u212a. \u00bd, \u2160. na\u00efve \u4e2d\u6587\u3002".split()
+    texts = [rng.choice(["", " ", "\u00a0"]).join(rng.choices(pieces, k=rng.randint(1, 9))) for _ in range(500)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        packed = K.ChunkEncoder(path).encode_many([t.encode() for t in texts])
+        for text, ids, want in zip(texts, packed, _whole(tokenizers.Tokenizer.from_file(path), texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == want, text
+    assert K.parts_at_space(public_tokenizers.path("word_bpe_49k.json"))
+    assert not K.parts_at_space(public_tokenizers.path("byte_bpe_50k.json"))

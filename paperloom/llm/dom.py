@@ -31,6 +31,9 @@ _P_LIMIT = frozenset("td th table button body html".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)/?>", re.DOTALL
 )
+#: A tag whose quotes do not close ends at the next ">", or at the next tag.
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^<>]*)(?:/?>|(?=<))")
+_MAYBE_TAG = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 
 
@@ -78,6 +81,13 @@ def parse(html: str) -> Page:
     at, end = 0, len(html)
     while at < end:
         found = _TOKEN.search(html, at)
+        early = _MAYBE_TAG.search(html, at, found.start() if found else end)
+        while early is not None:
+            broken = _BROKEN.match(html, early.start())
+            if broken is not None and ('"' in broken[3] or "'" in broken[3]):
+                found = broken
+                break
+            early = _MAYBE_TAG.search(html, early.end(), found.start() if found else end)
         if found is None:
             text(html[at:])
             break

@@ -157,7 +157,8 @@ def scan_notices(docs: DataFrame, notices=NOTICES) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(read_table(spark, sf_dir, "documents"))
+    docs = read_table(spark, sf_dir, "documents")
+    return scan_licenses(docs).unionByName(scan_notices(docs))
 
 
 def _quoted(text: str) -> str:
@@ -181,4 +182,8 @@ hits AS (
   GROUP BY d.doc_id, q.template)
 SELECT doc_id, template, CAST(n_matched AS BIGINT) AS n_matched, CAST(n AS BIGINT) AS n_shingles
 FROM hits JOIN sizes USING (template) WHERE 100 * n_matched >= {CONTAINMENT_PERCENT} * n
+UNION ALL
+SELECT d.doc_id, q.name, CAST(1 AS BIGINT), CAST(1 AS BIGINT)
+FROM words d, (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in NOTICES)}) q(name, notice)
+WHERE d.template IS NULL AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || lower(q.notice) || ' ')
 """

@@ -125,8 +125,10 @@ def _training_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 # near copies mostly share their least hashes of three words
                 words = found[a:b, 0].astype(np.uint64)
                 runs = K.mix(words[:-2] + words[1:-1] * np.uint64(1 << 22) + words[2:] * np.uint64(1 << 44)) >> np.uint64(1)
-                near.append(int(runs.min()) if len(runs) else len(n_words))
-                near2.append(int((runs ^ np.uint64(0x5555555555555555)).min()) if len(runs) else len(n_words))
+                if not len(runs):  # of shorter texts only equal ones are copies
+                    runs = K.mix(np.array([len(words), *words[:1], *words[-1:]], np.uint64).cumsum(dtype=np.uint64)[-1:]) >> np.uint64(1)
+                near.append(int(runs.min()))
+                near2.append(int((runs ^ np.uint64(0x5555555555555555)).min()))
         columns = [batch.column(1), pa.array(near, pa.int64()), pa.array(near2, pa.int64()), pa.array(n_words, pa.int64())]
         columns += [pa.array(units, pa.binary()), pa.array(counts, pa.binary()), pa.array(shares, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["y", "near", "near2", "n_words", "units", "counts", "shares"])

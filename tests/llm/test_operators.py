@@ -491,3 +491,39 @@ def test_decoding_never_keeps_a_child_of_a_dropped_parent():
         page = parse(maker.page())
         chosen = html_extraction.decode(page, rng.normal(size=len(page.nodes)) * 3)
         assert all(chosen[n.parent] for k, n in enumerate(page.nodes) if chosen[k] and n.parent >= 0)
+
+
+def test_broken_quotes_are_tags_and_not_text():
+    from paperloom.llm import dom
+
+    def texts(html):
+        return [" ".join("".join(t for _, t in b).split()) for b in dom.parse(html).blocks]
+
+    assert texts('<p>one <a href="foo>two</a> three</p><p>four</p>') == ["one two three", "four"]
+    assert texts("<p title='x>one <b class=\"y\">two</b></p>") == ["one two"]
+    assert texts('<p title="a > b">1 < 2 and "x" > y</p>') == ['1 < 2 and "x" > y']
+
+
+def test_license_query_finds_short_notices_too(spark, tmp_path):
+    rows = [(1, "x All Rights  Reserved. y"), (2, "all rights reserved"), (3, None), (4, "Licensed under CC BY-NC 4.0. and more")]
+    rows += [(1, "x All Rights  Reserved. y"), (None, ""), (5, "w " * 30_000 + "all rights reserved.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, r.template) for r in license_scan.op2_license_scan(spark, str(tmp_path)).collect())
+    assert got == Counter({(1, "all-rights-reserved"): 2, (5, "all-rights-reserved"): 1, (4, "cc-by-nc-4.0-line"): 1})
+
+
+def test_short_texts_of_training_do_not_depend_on_the_batch():
+    texts = ["bad word", "good word", "bad word", "", "one", None, "two"]
+    key = lambda some: [
+        r for b in toxicity._training_features(iter([pa.record_batch([pa.array(some), pa.array([0] * len(some))], names=["text", "y"])])) for r in b.column(1).to_pylist()
+    ]
+    whole = key(texts)
+    assert whole == [k for t in texts for k in key([t])]
+    assert whole[0] == whole[2] != whole[1] and len({whole[4], whole[6], whole[3]}) == 3
+
+
+def test_drop_copies_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g", "x", 7, 1.5), (2, "a b c d e f g", "y", 8, 2.5), (3, None, "z", 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_hash string, w_id long, `odd.name` double")
+    got = jaccard_join.drop_copies(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]

@@ -527,3 +527,38 @@ def test_drop_copies_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _text_hash string, w_id long, `odd.name` double")
     got = jaccard_join.drop_copies(docs)
     assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
+def test_bit_bounds_and_box_joins_never_miss_a_link():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        base = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 1500)), dtype=np.uint64) << np.uint64(1))
+        sets.append(base)
+        for _ in range(int(rng.integers(0, 4))):
+            cut = int(rng.integers(0, len(base) // 5 + 1))
+            sets.append(np.union1d(base[cut:], rng.integers(0, 2**63, cut // 2, dtype=np.uint64)))
+    sets.append(np.arange(40_000, dtype=np.uint64))  # all in one group
+    sets.append(np.arange(2_000, 41_000, dtype=np.uint64))
+    n, bits = np.array([len(x) for x in sets]), []
+    for own in sets:
+        width = jaccard_join.groups_of(len(own)).bit_length() - 1
+        counts = np.bincount((own >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width)
+        bits.append(jaccard_join.as_bits(jaccard_join.closed(counts)))
+    node = np.arange(len(sets))
+    links = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= 75 * (n[i] + n[j] - both):
+                links.add((j, i))
+    assert len(links) > 50
+    whole = set(jaccard_join.tree_pairs(node, node, n, bits, np.zeros(len(sets), int)))
+    assert links <= whole and len(whole) < 3 * len(links)
+    side = rng.integers(1, 3, len(sets))
+    split = set(jaccard_join.tree_pairs(node, node, n, bits, side))
+    assert {(i, j) for i, j in links if side[i] != side[j]} <= split
+    best = set(jaccard_join.tree_pairs(node, node, n, bits, np.zeros(len(sets), int), best=True))
+    assert best <= whole and {i for p in links for i in p} <= {i for p in best for i in p}
+    bulk = set(jaccard_join.leaf_pairs(np.zeros(16, int), node[:16], node[:16], n[:16], bits[:16]))
+    assert {p for p in links if max(p) < 16} <= bulk

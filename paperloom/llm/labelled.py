@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, tidy
 
 FOLDS = 5
 
@@ -39,7 +39,7 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray]) -> DataFram
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(batch.column(1)))], names=["doc_id", "score"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, score double")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def filtered(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -50,4 +50,4 @@ def filtered(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], keep: Cal
         for batch in batches:
             yield batch.filter(pa.array(keep(score(batch.column(at)))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

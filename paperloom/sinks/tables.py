@@ -34,12 +34,20 @@ def append_index(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").json(path)
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Puts the old table back if a swap was cut off between its renames."""
+    at, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.old"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return not fs.exists(at) and fs.exists(old) and fs.rename(old, at)
+
+
 def replace(table: DataFrame, path: str) -> None:
-    """Writes beside the old table, then swaps by renames."""
+    """Writes beside the old table, then swaps by renames; see ``recover``."""
     spark = table.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old"
     table.write.parquet(new)
+    recover(spark, path)
     at = [jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old)]
     fs = at[0].getFileSystem(conf)
     fs.delete(at[2], True)

@@ -23,12 +23,17 @@ def quiet_batches(arrivals: DataFrame, quiet: str = QUIET, *by: str) -> DataFram
     return arrivals.groupBy(session, *by).agg(*sums).drop("session_window")
 
 
-def hot_folder(spark: SparkSession, folder: str, max_files: int = 200) -> DataFrame:
+def hot_folder(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """A stream of image files: path, ts, length, content.
 
+    Without ``max_files`` a micro-batch takes all files that are there, so a batch
+    of many pages is not cut in two.
+
     Existing files are read too.  Writers should rename complete files into the
     folder; a rename is atomic, so half-written files are never seen.
     """
-    files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "false")
+    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "false")
+    if max_files is not None:
+        files = files.option("maxFilesPerTrigger", max_files)
     found = files.load(folder).where(F.col("path").rlike(IMAGE_FILES))
     return found.select("path", F.col("modificationTime").alias("ts"), "length", "content")

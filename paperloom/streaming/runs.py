@@ -29,6 +29,7 @@ class Store:
         return f"{self.root.rstrip('/')}/{name}"
 
     def table(self, name: str, schema: str) -> DataFrame:
+        sinks.recover(self.spark, self.path(name))
         if sources.exists(self.spark, self.path(name)):
             return self.spark.read.parquet(self.path(name))
         return self.spark.createDataFrame([], schema)
@@ -82,10 +83,13 @@ def start(pages: DataFrame, store: Store, checkpoint: str, once: bool = True):
 
     Micro-batches are serial, so one run at a time is active; a document's
     pages must arrive in one micro-batch, as in one session of the hot folder.
+    Runs carry the query's id, which its checkpoint keeps: a restart replaces its
+    own outputs, and a query with a new checkpoint none of those of others.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        process(batch, store, f"stream-{number:09d}", f"batch {number}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        process(batch, store, f"stream-{query}-{number:09d}", f"batch {number}")
 
     writer = pages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -104,3 +104,20 @@ def test_quiet_periods_close_batches(spark):
     got = sorted(r.paths for r in batches.quiet_batches(rows).collect())
     # a gap of exactly the period still belongs
     assert got == [["p0", "p3", "p7"], ["p12", "p13"]]
+
+
+def test_a_swap_that_was_cut_off_is_recovered(spark, tmp_path):
+    store = runs.Store(spark, str(tmp_path))
+    spark.range(3).write.parquet(store.path("dictionary") + ".old")
+    assert store.table("dictionary", "id long").count() == 3
+    sinks.replace(spark.range(5), store.path("dictionary"))
+    assert store.table("dictionary", "id long").count() == 5
+
+
+def test_too_many_pages_are_an_error(spark, tmp_path):
+    for k in range(4):
+        (tmp_path / f"page_{k:03d}.bmp").write_bytes(b"BM")
+    assert scanner.scan_batch(spark, str(tmp_path), "s", 4).count() == 4
+    with pytest.raises(scanner.ScanError) as raised:
+        scanner.scan_batch(spark, str(tmp_path), "s", 3)
+    assert raised.value.code == "TOO_MANY_PAGES"

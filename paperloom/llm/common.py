@@ -49,20 +49,28 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-#: Removes the shuffle files of a query when it ends; its table is written by then.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of every query that ends in a written table.
+_WRITING = {
+    # removes the shuffle files of a query when it ends; its table is written by then
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # Arrow batches are bounded by bytes, as a row may hold a whole text or vector
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it: cuts the lineage."""
     spark = df.sparkSession
     path = path or scratch(spark, label)
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
+    before = {key: spark.conf.get(key) for key in _WRITING}
     try:
+        for key, value in _WRITING.items():
+            spark.conf.set(key, value)
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 

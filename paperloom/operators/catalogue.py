@@ -9,16 +9,20 @@ from ..functions.text import ITEM_BARCODE
 
 #: The conflict report lists so many; the limit is part of the report.
 CONFLICTS_SHOWN = 20
-#: A dimension of at most so many rows is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A dimension of at most so many rows and bytes is broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
-def small(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(dimension: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast where a bounded count shows that the dimension is small.
 
-    Without the count the planner's own size estimate decides.
+    Beyond either bound the planner's own size estimate decides.
     """
-    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
+    each = F.lit(0)
+    for column in dimension.columns:
+        each = each + F.coalesce(F.octet_length(F.col(column).cast("string")), F.lit(0))
+    found = dimension.limit(rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(each.cast("long")), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(dimension) if found["rows"] <= rows and found["bytes"] <= size else dimension
 
 
 def zip_columns(skus: DataFrame, barcodes: DataFrame) -> DataFrame:

@@ -51,10 +51,11 @@ def run_summary(segmented: DataFrame, documents: DataFrame, items: DataFrame, ca
         F.count_if(F.col("sku_source") == "ocr").alias("sku_from_ocr"),
     )
     entries = catalogue.agg(F.count(F.lit(1)).alias("catalogue_entries"))
+    # single rows each, whose columns fill up to one
     one = docs
-    for other in (pages, rows, entries):  # single rows each
-        one = one.join(F.broadcast(other))
-    return one
+    for other in (pages, rows, entries):
+        one = one.unionByName(other, allowMissingColumns=True)
+    return one.agg(*(F.max(c).alias(c) for c in one.columns))
 
 
 def pdf_manifest(segmented: DataFrame, documents: DataFrame, scan_date: str) -> DataFrame:

@@ -58,6 +58,18 @@ def replace(table: DataFrame, path: str) -> None:
     fs.delete(at[2], True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it is missing."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def save_map(table: DataFrame, path: str, **header: str) -> None:
     """A small table ``(barcode, sku)`` as one JSON map with sorted keys."""
     rows = {r["barcode"]: r["sku"] for r in table.orderBy("barcode").toLocalIterator()}

@@ -6,6 +6,7 @@ both change once per run: outputs are keyed by the run, so replays replace.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,9 @@ from ..schemas import SKU_CATALOGUE, SKU_DICTIONARY
 from ..sinks import tables as sinks
 from ..sources import tables as sources
 
+#: What a swap that was cut off leaves behind.
+_UNFINISHED = re.compile(r"\.([0-9a-f]{32}|old)$")
+
 
 @dataclass
 class Store:
@@ -34,6 +38,31 @@ class Store:
             return self.spark.read.parquet(self.path(name))
         return self.spark.createDataFrame([], schema)
 
+    def finished(self, run: str) -> bool:
+        """Whether the run wrote its summary, which comes last."""
+        if not sources.exists(self.spark, self.path("summaries")):
+            return False
+        return self.spark.read.parquet(self.path("summaries")).where(F.col("run") == run).limit(1).count() > 0
+
+    def dictionary_before(self, run: str) -> DataFrame:
+        """The dictionary as it was before the run, kept for a replay.
+
+        Only the last run's copy is kept.  What a run learnt that did not finish is
+        taken back by the next; a finished run before the last cannot be repeated,
+        as that would undo what later ones learnt.
+        """
+        folder, copies = self.path("dictionary-before"), sinks.children(self.spark, self.path("dictionary-before"))
+        if run not in copies:
+            if self.finished(run):
+                raise ValueError(f"run {run} is not the last one and cannot be repeated")
+            cut_off = [c for c in copies if not _UNFINISHED.search(c) and not self.finished(c)]
+            source = self.spark.read.parquet(f"{folder}/{cut_off[0]}") if cut_off else self.table("dictionary", SKU_DICTIONARY)
+            sinks.replace(source, f"{folder}/{run}")
+        for copy in copies:
+            if copy != run:
+                sinks.remove(self.spark, f"{folder}/{copy}")
+        return self.spark.read.parquet(f"{folder}/{run}")
+
     def history(self, run: str) -> DataFrame:
         """Ids of documents that other runs processed."""
         if not sources.exists(self.spark, self.path("index")):
@@ -46,23 +75,27 @@ def process(pages: DataFrame, store: Store, run: str, scanned_at: str) -> DataFr
     """Processes page records and writes all outputs; gives the run's summary.
 
     The latest run may be repeated, as a stream does after a failure: every
-    output is replaced by the same rows.
+    output is replaced by the same rows.  Each step is written once and all
+    outputs read it.
     """
     catalogue = store.table("catalogue", SKU_CATALOGUE)
-    # the dictionary as it was before the run: a replay starts from it again
-    kept = store.path(f"dictionary-before/{run}")
-    if not sources.exists(store.spark, kept):
-        sinks.replace(store.table("dictionary", SKU_DICTIONARY), kept)
-    before = store.spark.read.parquet(kept)
-    segmented = segment.segment_pages(pages)
-    resolved = resolve.resolve(segment.items(segmented), catalogue, before)
-    documents, items = validate.validate(segment.documents(segmented), resolved, store.history(run))
+    before = store.dictionary_before(run)
+    work = store.path(f"work/{run}")
+
+    def step(name: str, table: DataFrame) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{work}/{name}")
+        return store.spark.read.parquet(f"{work}/{name}")
+
+    segmented = step("segmented", segment.segment_pages(pages))
+    resolved = step("resolved", resolve.resolve(segment.items(segmented), catalogue, before))
+    validated = validate.validate(segment.documents(segmented), resolved, store.history(run))
+    documents, items = (step(name, table) for name, table in zip(("documents", "items"), validated, strict=True))
     sinks.append(outputs.sheet_rows(documents, items), store.path("rows"), run)
     sinks.append(outputs.log_rows(documents, items, scanned_at), store.path("log"), run)
-    summary = outputs.run_summary(segmented, documents, items, catalogue)
-    sinks.append(summary, store.path("summaries"), run)
     sinks.replace(cat.merge_dictionary(before, resolved, scanned_at), store.path("dictionary"))
     sinks.append(validate.index_entries(documents, scanned_at), store.path("index"), run)
+    sinks.append(outputs.run_summary(segmented, documents, items, catalogue), store.path("summaries"), run)
+    sinks.remove(store.spark, work)
     return store.spark.read.parquet(store.path("summaries")).where(F.col("run") == run).drop("run")
 
 

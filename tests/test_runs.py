@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom import config
+from paperloom.operators import catalogue as cat
+from paperloom.plans import catalog
 from paperloom.sinks import tables as sinks
 from paperloom.sources import scanner
 from paperloom.sources import tables as sources
@@ -121,3 +123,44 @@ def test_too_many_pages_are_an_error(spark, tmp_path):
     with pytest.raises(scanner.ScanError) as raised:
         scanner.scan_batch(spark, str(tmp_path), "s", 3)
     assert raised.value.code == "TOO_MANY_PAGES"
+
+
+def test_only_the_last_run_is_repeated(spark, tmp_path):
+    store = runs.Store(spark, str(tmp_path))
+    for run in ("r1", "r2"):
+        runs.process(pages(spark), store, run, run)
+    with pytest.raises(ValueError):
+        runs.process(pages(spark), store, "r1", "r1")
+    assert [r.seen for r in spark.read.parquet(store.path("dictionary")).collect()] == [8]
+    assert sinks.children(spark, store.path("dictionary-before")) == ["r2"]
+    assert sinks.children(spark, store.path("work")) == []
+
+
+def test_what_an_unfinished_run_learnt_is_taken_back(spark, tmp_path, monkeypatch):
+    store, write = runs.Store(spark, str(tmp_path)), sinks.append
+
+    def cut(rows, path, run):
+        if path.endswith("summaries"):
+            raise OSError("cut off")
+        write(rows, path, run)
+
+    monkeypatch.setattr(sinks, "append", cut)
+    with pytest.raises(OSError):
+        runs.process(pages(spark), store, "r1", "t1")
+    assert [r.seen for r in spark.read.parquet(store.path("dictionary")).collect()] == [4]
+    monkeypatch.undo()
+    runs.process(pages(spark), store, "r2", "t2")
+    assert [r.seen for r in spark.read.parquet(store.path("dictionary")).collect()] == [4]
+    runs.process(pages(spark), store, "r1", "t1")
+    assert [r.seen for r in spark.read.parquet(store.path("dictionary")).collect()] == [8]
+
+
+def test_broadcast_is_bounded_by_rows_and_bytes(spark):
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    table = spark.createDataFrame([("1", "a" * 100), ("2", None)], "barcode string, sku string")
+    assert hinted(cat.small(table)) and not hinted(cat.small(table, rows=1)) and not hinted(cat.small(table, size=100))
+
+
+def test_run_summary_joins_nothing(spark, tmp_path):
+    plan = catalog.queries()["run_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

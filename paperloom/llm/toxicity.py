@@ -242,9 +242,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = T
     q, _ = label_model(votes, start)
     x = classifier_inputs(hits, distinct, n_words, shares, present[:, :OWN_INPUTS])
     w = logistic(x, q)
-    # the intercept that errs least on the training fold's labels
+    # the intercept that errs least on the training fold's labels; the last cut is
+    # above all rows, so that a classifier that found nothing calls nothing toxic
     margin = x @ w
-    cuts = np.unique(np.quantile(margin, np.linspace(0, 1, 400)))
+    cuts = np.append(np.unique(np.quantile(margin, np.linspace(0, 1, 400))), margin.max() + 1)
     errors = [np.mean((margin >= c) != (y == 1)) for c in cuts]
     best = np.flatnonzero(np.array(errors) == min(errors))
     low = cuts[best[0]]

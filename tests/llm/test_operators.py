@@ -562,3 +562,11 @@ def test_bit_bounds_and_box_joins_never_miss_a_link():
     assert best <= whole and {i for p in links for i in p} <= {i for p in best for i in p}
     bulk = set(jaccard_join.leaf_pairs(np.zeros(16, int), node[:16], node[:16], n[:16], bits[:16]))
     assert {p for p in links if max(p) < 16} <= bulk
+
+
+def test_few_labels_that_show_nothing_reject_nothing(make, spark):
+    rng = random.Random(31)
+    rows = [(k, " ".join(prose(rng, 50))) for k in range(60)]
+    labels = spark.createDataFrame([(k, 1, int(k % 8 == 3)) for k in range(60)], "doc_id long, quality int, toxic int")
+    docs = make(rows)
+    assert toxicity.drop_toxic(docs, toxicity.fit(docs, labels)).count() == 60

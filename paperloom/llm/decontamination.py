@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingle_kernel
-from .common import id_text, read_table
+from .common import id_text, map_rows, read_table
 
 CONTAINMENT_PERCENT = 75
 #: Items whose sketches and shingles one pass broadcasts.
@@ -129,7 +129,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", bloc
         return run
 
     for index in _indexes(items, item_id, block_items):
-        docs = docs.mapInArrow(clean(index), docs.schema)
+        docs = map_rows(docs, clean(index))
     return docs
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, tidy
+from .common import id_text, map_rows, tidy
 
 FOLDS = 5
 
@@ -50,4 +50,4 @@ def filtered(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], keep: Cal
         for batch in batches:
             yield batch.filter(pa.array(keep(score(batch.column(at)))))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return map_rows(docs, tidy(run))

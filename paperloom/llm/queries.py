@@ -19,6 +19,7 @@ _QUERIES = {
     "op8_quality_mil": "quality_mil",
     "op9_packing": "packing",
     "op10_sharding": "sharding",
+    "op11_spelling_variants": "spelling",
 }
 
 

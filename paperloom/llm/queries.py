@@ -20,6 +20,7 @@ _QUERIES = {
     "op9_packing": "packing",
     "op10_sharding": "sharding",
     "op11_spelling_variants": "spelling",
+    "op12_url_filters": "url_filters",
     "op13_phrases": "phrases",
 }
 

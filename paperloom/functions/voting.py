@@ -9,16 +9,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def vote(values: Column) -> Column:
-    """The most frequent non-null of an array, the first seen among equals."""
-    present = F.filter(values, lambda v: v.isNotNull())
+def _tally(values: Column) -> Column:
+    """STRUCT<n, value>: the most frequent of an array without nulls, the first seen among equals."""
 
     def better(best: Column, value: Column) -> Column:
-        n = F.size(F.filter(present, lambda v: v == value))
+        n = F.size(F.filter(values, lambda v: v == value))
         return F.when(n > best["n"], F.struct(n.alias("n"), value.alias("value"))).otherwise(best)
 
     none = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("value"))
-    return F.aggregate(present, none, better)["value"]
+    return F.aggregate(values, none, better)
+
+
+def vote(values: Column) -> Column:
+    """The most frequent non-null of an array, the first seen among equals."""
+    return _tally(F.filter(values, lambda v: v.isNotNull()))["value"]
+
+
+def vote_readings(texts: Column) -> Column:
+    """STRUCT<text, agreement> of the readings of one crop: null text if the winner is empty.
+
+    Agreement is the winner's share of all readings, 0 without any.
+    """
+
+    def shown(present: Column) -> Column:
+        won = _tally(present)
+        share = F.when(F.size(present) > 0, won["n"] / F.size(present)).otherwise(0.0)
+        return F.struct(F.when(won["value"] != "", won["value"]).alias("text"), share.alias("agreement"))
+
+    return F.get(F.transform(F.array(F.filter(texts, lambda t: t.isNotNull())), shown), F.lit(0))
 
 
 def read_voted(readings: DataFrame, key: str = "key") -> DataFrame:

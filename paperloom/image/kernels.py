@@ -305,9 +305,18 @@ def prepare_for_reading(plane: np.ndarray, height: int = 60, threshold: int | No
     cut = plain[max(0, y - 4) : y + h + 4, max(0, x - 4) : x + w + 4]
     scale = int(np.clip(round(height / cut.shape[0]), 1, 4))
     cut = np.kron(cut, np.ones((scale, scale), np.uint8))
-    low, high = int(cut.min()), int(cut.max())
-    if high > low:
-        cut = ((cut.astype(int) - low) * 255 // (high - low)).astype(np.uint8)
+    cut = normalized(cut)
     if threshold is not None:
         cut = np.where(cut > threshold, 255, 0).astype(np.uint8)
     return np.pad(cut, margin, constant_values=255)
+
+
+def normalized(plane: np.ndarray) -> np.ndarray:
+    """The plane's darkest level at 0 and its lightest at 255."""
+    low, high = int(plane.min()), int(plane.max())
+    return ((plane.astype(int) - low) * 255 // (high - low)).astype(np.uint8) if high > low else plane
+
+
+def binary_plane(plane: np.ndarray, threshold: int) -> np.ndarray:
+    """White from the threshold on, else black."""
+    return np.where(plane >= threshold, 255, 0).astype(np.uint8)

@@ -38,8 +38,8 @@ SCALE = 2_000_000
 
 #: Words of a block; keys that a task sorts at once; keys of a range.
 BLOCK_WORDS = 1 << 20
-CHUNK_KEYS = 1 << 22
-RANGE_KEYS = 1 << 21
+CHUNK_KEYS = 1 << 21
+RANGE_KEYS = 1 << 20
 #: Blocks and keys a range from which the borders of ranges are read: they bear on balance alone.
 SAMPLE_BLOCKS = 2048
 SAMPLE_KEYS = 32

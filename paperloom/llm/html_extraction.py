@@ -33,8 +33,10 @@ from .boosting import BoostedTrees
 from .common import read_table
 from .dom import Page, parse
 
-TRAINING_PAGES = 500
+TRAINING_PAGES = 700
 SEED = 11
+#: Pages that are judged at once: these characters, or one page that is longer.
+BATCH_CHARS = 1 << 20
 
 # What names of classes, ids and roles tell, by kind.
 NAME_KINDS = {
@@ -230,6 +232,8 @@ class PageMaker:
         r, kind = self.r, self.r.choice(["nav", "header", "ad", "ad", "notice", "side", "form", "share", "related", "comments", "footer"])
         style, self.style = self.style, "plain"
         try:
+            if r.random() < 0.1:  # links in boxes that tell nothing
+                return self.nested(self.link_list(r.randint(3, 10)), 3)
             if kind == "nav":
                 body = self.link_list(r.randint(2, 9))
                 return self.tag("nav", body) if r.random() < 0.6 else self.tag("div", body, r.choice(["menu", "nav-main", "breadcrumbs", "top-menu"]))
@@ -260,11 +264,50 @@ class PageMaker:
         finally:
             self.style = style
 
+    def plain_name(self) -> str:
+        """A name that tells nothing, as style compilers make them."""
+        return self.r.choice(["css-", "sc-", "jsx-", "x", "c", "u-", "b"]) + "".join(self.r.choices("0123456789abcdef", k=self.r.randint(1, 6)))
+
+    def nested(self, body: str, most: int) -> str:
+        """The body in some elements that tell nothing."""
+        for _ in range(self.r.randint(0, most)):
+            body = self.tag(self.r.choice(["div", "div", "div", "section", "span"]), body, self.plain_name() if self.r.random() < 0.7 else None)
+        return body
+
+    def bare_paragraphs(self) -> str:
+        """An article of elements that tell nothing: each part in nested boxes of its own."""
+        m, depth = _MAIN, self.r.choice([0, 1, 2, 4])
+        parts = [self.nested(self.tag(self.r.choice(["h1", "h2", "div", "span"]), m + " ".join(self.words(2, 9)), self.plain_name()), depth)]
+        for _ in range(self.r.choice([1, 2, 2, 3, 5, 8])):
+            parts.append(self.nested(self.tag(self.r.choice(["div", "div", "p", "span"]), m + self.sentences(1, self.r.choice([1, 2, 4, 7])), self.plain_name() if self.r.random() < 0.6 else None), depth))
+            if self.r.random() < 0.08:
+                parts.append(self.noise())
+        return self.nested("".join(parts), 4)
+
+    def old_table(self) -> str:
+        """A page of tables: links in one cell, the article with its fonts in another."""
+        r, m = self.r, _MAIN
+        title = m + " ".join(self.words(2, 9))
+        head = r.choice([f"<font size=+2><b>{title}</b></font>", f"<font size=5 color=#333>{title}</font>", f"<center><font face=arial>{title}</font></center>", f"<b>{title}</b>"])
+        gap = r.choice(["<br><br>", "<p>", "<br>"])
+        texts = [r.choice(["", "<font size=2>"]) + m + self.sentences(1, r.choice([1, 3, 6])) for _ in range(r.randint(1, 6))]
+        body = head + gap + gap.join(t + ("</font>" if t.startswith("<font") else "") for t in texts)
+        links = "<td width=120>" + r.choice(["<br>", " "]).join(f'<a href="/{k}">{" ".join(self.words(1, 2))}</a>' for k in range(r.randint(3, 9))) + "</td>"
+        cells = links + f"<td valign=top>{body}</td>" if r.random() < 0.7 else f"<td>{body}</td>" + links
+        low = r.choice(["", f"<tr><td colspan=2><font size=1>&copy; {' '.join(self.words(1, 2))} {self.link_list(2)}</font></td></tr>"])
+        return f"<table border=0><tr>{cells}</tr>{low}</table>"
+
     def article(self) -> str:
         r, m = self.r, _MAIN
+        layout = r.random()
+        if layout < 0.14:
+            return self.bare_paragraphs()
+        if layout < 0.22:
+            return self.old_table()
         parts = []
         if r.random() < 0.85:
-            parts.append(self.tag(r.choice(["h1", "h1", "h2"]), m + " ".join(self.words(2, 12))))
+            title = self.tag(r.choice(["h1", "h1", "h2"]), m + " ".join(self.words(1, 12)))
+            parts.append(f"<center>{title}</center>" if r.random() < 0.06 else title)
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             kind = r.random()
             if kind < 0.7:
@@ -348,9 +391,15 @@ def extract_pages(pages: list[str | None], model: BoostedTrees) -> list[str]:
 def _extract(model: BoostedTrees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 128):
-                batch = whole.slice(low, 128)
-                texts = extract_pages(batch.column(2).to_pylist(), model)
+            low = 0
+            while low < whole.num_rows:
+                pages, size = [], 0
+                while low + len(pages) < whole.num_rows and len(pages) < 128 and size < BATCH_CHARS:
+                    pages.append(whole.column(2)[low + len(pages)].as_py())
+                    size += len(pages[-1] or "")
+                batch = whole.slice(low, len(pages))
+                low += len(pages)
+                texts = extract_pages(pages, model)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return run

@@ -18,7 +18,8 @@ def sheet_rows(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def log_rows(documents: DataFrame, items: DataFrame, scanned_at: str) -> DataFrame:
     """The log: issues of documents, also of those without items, and of items."""
-    heads = documents.select("batch_id", "doc_seq", "doc_id", F.coalesce("doc_number", F.lit("")).alias("doc_number"))
+    path = F.coalesce("pdf_path", F.lit("")) if "pdf_path" in documents.columns else F.lit("")
+    heads = documents.select("batch_id", "doc_seq", "doc_id", F.coalesce("doc_number", F.lit("")).alias("doc_number"), path.alias("pdf_path"))
     of_documents = documents.select("batch_id", "doc_seq", F.explode("issues").alias("i"))
     of_items = items.select("batch_id", "doc_seq", F.explode("issues").alias("i"))
     return (
@@ -35,7 +36,7 @@ def log_rows(documents: DataFrame, items: DataFrame, scanned_at: str) -> DataFra
             "i.code",
             "i.severity",
             "i.message",
-            F.lit("").alias("pdf_path"),
+            "pdf_path",
         )
     )
 

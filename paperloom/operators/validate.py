@@ -122,6 +122,6 @@ def index_entries(documents: DataFrame, scanned_at: str) -> DataFrame:
         F.col("doc_date").alias("docDate"),
         F.lit(scanned_at).alias("scannedAt"),
         F.col("n_items").cast("int").alias("rows"),
-        F.lit(None).cast("string").alias("pdfPath"),
+        (F.col("pdf_path") if "pdf_path" in documents.columns else F.lit(None).cast("string")).alias("pdfPath"),
         flagged.cast("int").alias("flagged"),
     )

@@ -95,22 +95,30 @@ def parent(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)/[^/]+\z", 1)
 
 
+def load_images(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
+    """path, dpi, image of image files or folders.
+
+    A file that cannot be decoded is an error, as its page would be lost without a trace.
+    """
+    deep = str(recursive).lower()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", deep).load(paths).where(F.col("path").rlike(IMAGE_FILES))
+    heads = files.select(_same_path(F.col("path")).alias("path"), _dpi(F.substring("content", 1, HEAD_BYTES)).alias("dpi"))
+    found = spark.read.format("image").option("recursiveFileLookup", deep).load(paths)
+    # Spark gives what it could not decode a height of -1, or leaves it out
+    pixels = found.select(_same_path(F.col("image.origin")).alias("path"), F.struct("image.height", "image.width", "image.nChannels", "image.data").alias("image"))
+    readable = F.coalesce(F.col("image.height") > 0, F.lit(False))
+    failed = F.raise_error(F.concat(F.lit("not a readable image: "), F.col("path"))).cast("string")
+    return heads.join(pixels, "path", "left").select(F.when(readable, F.col("path")).otherwise(failed).alias("path"), "dpi", "image")
+
+
 def read_images(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """batch_id, page_index, path, dpi, image of a folder's image files, or one file's.
 
     A folder is a batch and gives it its name; pages are numbered in binary order
-    of their paths, by batch, so only paths are shuffled for it.  A file that
-    cannot be decoded is an error, as its page would be lost without a trace.
+    of their paths, by batch, so only paths are shuffled for it.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    listed = files.where(F.col("path").rlike(IMAGE_FILES)).withColumn("path", _same_path(F.col("path")))
+    listed = files.where(F.col("path").rlike(IMAGE_FILES)).select(_same_path(F.col("path")).alias("path"))
     order = Window.partitionBy("batch_id").orderBy("path")
-    numbered = listed.select(parent(F.col("path")).alias("batch_id"), "path").withColumn("page_index", F.row_number().over(order) - 1)
-    heads = listed.select("path", _dpi(F.substring("content", 1, HEAD_BYTES)).alias("dpi"))
-    found = spark.read.format("image").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    # Spark gives what it could not decode a height of -1, or leaves it out
-    pixels = found.select(_same_path(F.col("image.origin")).alias("path"), F.struct("image.height", "image.width", "image.nChannels", "image.data").alias("image"))
-    readable = F.coalesce(F.col("image.height") > 0, F.lit(False))
-    failed = F.raise_error(F.concat(F.lit("not a readable image: "), F.col("path"))).cast("string")
-    joined = numbered.join(heads, "path").join(pixels, "path", "left")
-    return joined.select("batch_id", "page_index", F.when(readable, F.col("path")).otherwise(failed).alias("path"), "dpi", "image")
+    numbered = listed.withColumn("batch_id", parent(F.col("path"))).withColumn("page_index", F.row_number().over(order) - 1)
+    return numbered.join(load_images(spark, path, recursive), "path").select("batch_id", "page_index", "path", "dpi", "image")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # Fixed values of the hot folder.
 QUIET = "4 seconds"
 IMAGE_FILES = r"(?i)\.(bmp|png|jpe?g|tiff?)$"
+_FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def quiet_batches(arrivals: DataFrame, quiet: str = QUIET, *by: str) -> DataFrame:
@@ -32,7 +33,7 @@ def hot_folder(spark: SparkSession, folder: str, max_files: int | None = None) -
     Existing files are read too.  Writers should rename complete files into the
     folder; a rename is atomic, so half-written files are never seen.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "false")
+    files = spark.readStream.schema(_FILES).format("binaryFile").option("recursiveFileLookup", "false")
     if max_files is not None:
         files = files.option("maxFilesPerTrigger", max_files)
     found = files.load(folder).where(F.col("path").rlike(IMAGE_FILES))

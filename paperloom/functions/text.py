@@ -98,7 +98,7 @@ def valid_sku(sku: Column) -> Column:
 
 
 def doc_number_from_id(doc_id: Column) -> Column:
-    return _without_zeros(F.substring(doc_id, 4, 1 << 20))
+    return F.when(doc_id.isNotNull(), _without_zeros(F.substring(doc_id, 4, 1 << 20)))
 
 
 def doc_id_from_number(number: Column) -> Column:

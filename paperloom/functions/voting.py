@@ -5,10 +5,17 @@ Ties go to the reading that was seen first, so ``mode`` does not serve.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _tally(values: Column) -> Column:
     """STRUCT<n, value>: the most frequent of an array without nulls, the first seen among equals."""
 
@@ -22,7 +29,7 @@ def _tally(values: Column) -> Column:
 
 def vote(values: Column) -> Column:
     """The most frequent non-null of an array, the first seen among equals."""
-    return _tally(F.filter(values, lambda v: v.isNotNull()))["value"]
+    return let(F.filter(values, lambda v: v.isNotNull()), lambda present: _tally(present)["value"])
 
 
 def vote_readings(texts: Column) -> Column:
@@ -32,11 +39,13 @@ def vote_readings(texts: Column) -> Column:
     """
 
     def shown(present: Column) -> Column:
-        won = _tally(present)
-        share = F.when(F.size(present) > 0, won["n"] / F.size(present)).otherwise(0.0)
-        return F.struct(F.when(won["value"] != "", won["value"]).alias("text"), share.alias("agreement"))
+        def of(won: Column) -> Column:
+            share = F.when(F.size(present) > 0, won["n"] / F.size(present)).otherwise(0.0)
+            return F.struct(F.when(won["value"] != "", won["value"]).alias("text"), share.alias("agreement"))
+
+        return let(_tally(present), of)
 
-    return F.get(F.transform(F.array(F.filter(texts, lambda t: t.isNotNull())), shown), F.lit(0))
+    return let(F.filter(texts, lambda t: t.isNotNull()), shown)
 
 
 def read_voted(readings: DataFrame, key: str = "key") -> DataFrame:

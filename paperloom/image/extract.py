@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as fields
 from ..functions import voting
-from ..operators.layout import COLUMN_STEPS
+from ..operators.layout import COLUMN_STEPS, columns_around
 from . import kernels as K
 from .barcodes import decode_crop
 from .bmp import decode_bmp, is_bmp
@@ -225,10 +225,6 @@ def header_fields(header: Column, decoded: Column) -> Column:
     The id is the decoded one, else that of the printed number, else that of the
     text below the bars; each field is voted apart.
     """
-    parsed = F.transform(header, fields.parse_header)
-
-    def field(name: str) -> Column:
-        return voting.vote(F.transform(parsed, lambda p: p[name]))
 
     def settled(v: Column) -> Column:
         derived = fields.doc_id_from_number(v["number"])
@@ -241,46 +237,46 @@ def header_fields(header: Column, decoded: Column) -> Column:
             F.coalesce(decoded != derived, F.lit(False)).alias("doc_id_mismatch"),
         )
 
-    votes = F.struct(field("doc_number").alias("number"), field("doc_date").alias("date"), field("doc_id").alias("shown"))
-    return F.get(F.transform(F.array(votes), settled), F.lit(0))
+    def votes(parsed: Column) -> Column:
+        def of(field: str) -> Column:
+            return voting.vote(F.transform(parsed, lambda p: p[field]))
+
+        return F.struct(of("doc_number").alias("number"), of("doc_date").alias("date"), of("doc_id").alias("shown"))
+
+    return voting.let(voting.let(F.transform(header, fields.parse_header), votes), settled)
 
 
 def line_items(cells: Column) -> Column:
     """ARRAY of extracted rows: quantities by vote, SKUs from both alphabets."""
 
     def row(cell: Column) -> Column:
-        latin, cyrillic = fields.normalize_sku(cell["latin"]["text"]), fields.normalize_sku(cell["cyrillic"]["text"])
-
-        def with_vote(v: Column) -> Column:
+        def of(v: Column) -> Column:
             return F.struct(
                 cell["band_index"].alias("band_index"),
                 cell["item_barcode"].alias("item_barcode"),
-                fields.merge_sku(latin, cyrillic).alias("sku"),
-                latin.alias("sku_latin"),
-                cyrillic.alias("sku_cyrillic"),
-                fields.parse_quantity(v["text"]).alias("quantity"),
-                v["text"].alias("quantity_raw"),
-                v["agreement"].alias("quantity_agreement"),
+                fields.merge_sku(v["latin"], v["cyrillic"]).alias("sku"),
+                v["latin"].alias("sku_latin"),
+                v["cyrillic"].alias("sku_cyrillic"),
+                fields.parse_quantity(v["quantity"]["text"]).alias("quantity"),
+                v["quantity"]["text"].alias("quantity_raw"),
+                v["quantity"]["agreement"].alias("quantity_agreement"),
             )
 
-        return F.get(F.transform(F.array(voting.vote_readings(F.transform(cell["quantity"], lambda q: q["text"]))), with_vote), F.lit(0))
+        readings = F.struct(
+            fields.normalize_sku(cell["latin"]["text"]).alias("latin"),
+            fields.normalize_sku(cell["cyrillic"]["text"]).alias("cyrillic"),
+            voting.vote_readings(F.transform(cell["quantity"], lambda q: q["text"])).alias("quantity"),
+        )
+        return voting.let(readings, of)
 
     return F.transform(cells, row)
 
 
-def _total(readings: Column) -> Column:
+def printed_total(readings: Column) -> Column:
+    """The number that most readings of a total agree on."""
     return fields.parse_total(voting.vote_readings(F.transform(readings, lambda r: r["text"]))["text"])
 
 
-def column_numbers(barcode: Column, n: Column) -> Column:
-    """STRUCT of column numbers around the barcodes' one, null where out of range; null as a whole without it."""
-    numbers = []
-    for name in ("row_number", "sku", "description", "barcode", "price", "quantity", "sum"):
-        at = barcode - COLUMN_STEPS["barcode"] + COLUMN_STEPS[name]
-        numbers.append(F.when((at >= 0) & (at < n), at.cast("int")).alias(name))
-    return F.when(barcode.isNotNull(), F.struct(*numbers))
-
-
 def page_records(readings: DataFrame) -> DataFrame:
     """Page records (``schemas.PAGE_EXTRACTION``, with dpi and archive where there are) from readings.
 
@@ -308,9 +304,9 @@ def page_records(readings: DataFrame) -> DataFrame:
         (shown & F.col("h.doc_id_mismatch")).alias("doc_id_mismatch"),
         (low & ~proven).alias("header_evidence_missing"),
         "grid_found",
-        column_numbers(F.col("barcode_column"), F.size("column_edges") - 1).alias("columns"),
+        columns_around(F.col("barcode_column"), F.size("column_edges") - 1).alias("columns"),
         line_items(F.col("cells")).alias("rows"),
-        F.struct(_total(F.col("total_quantity")).alias("quantity"), _total(F.col("total_sum")).alias("sum")).alias("totals"),
+        F.struct(printed_total(F.col("total_quantity")).alias("quantity"), printed_total(F.col("total_sum")).alias("sum")).alias("totals"),
         *extra,
         "error",
     )

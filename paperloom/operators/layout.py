@@ -53,13 +53,23 @@ def resolve_columns(edges: Column) -> Column:
     return F.when((n >= 3) & (at + 1 < n), F.struct(*fields))
 
 
-def shift_columns(columns: Column, by: Column, n: Column) -> Column:
-    """The column map moved ``by`` columns; out of range becomes null."""
+def columns_around(barcode: Column, n: Column) -> Column:
+    """STRUCT of column numbers around the barcodes' one, null where out of range; null as a whole without it."""
     fields = []
-    for name in COLUMN_STEPS:
-        moved = columns[name] + by
-        fields.append(F.when((moved >= 0) & (moved < n), moved.cast("int")).alias(name))
-    return F.struct(*fields)
+    for name in ("row_number", "sku", "description", "barcode", "price", "quantity", "sum"):
+        at = barcode - COLUMN_STEPS["barcode"] + COLUMN_STEPS[name]
+        fields.append(F.when((at >= 0) & (at < n), at.cast("int")).alias(name))
+    return F.when(barcode.isNotNull(), F.struct(*fields))
+
+
+def probed_column(edges: Column, decoded: Column) -> Column:
+    """The column with the barcodes: the first candidate among those where probes ``decoded``, else the named one.
+
+    ``decoded``: the numbers of the columns that gave a barcode in any probed band.
+    """
+    named, n = resolve_columns(edges)["barcode"], F.size(widths(edges))
+    hits = F.filter(barcode_candidates(named, n), lambda c: F.array_contains(decoded, c))
+    return F.coalesce(F.get(hits, F.lit(0)), named)
 
 
 def barcode_candidates(place: Column, n: Column) -> Column:
@@ -88,10 +98,6 @@ def cell_box(left: Column, top: Column, right: Column, bottom: Column, pad_x: in
     )
 
 
-def scale_box(box: Column, factor: Column) -> Column:
-    return F.struct(*[F.round(box[k] * factor).cast("int").alias(k) for k in ("x", "y", "width", "height")])
-
-
 def otsu(histogram: DataFrame) -> DataFrame:
     """threshold of ``histogram(bucket, n)``: greatest between-class variance.
 

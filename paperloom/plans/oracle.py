@@ -7,6 +7,7 @@ plan builds arrays of issues, the SQL is a union of one SELECT per rule.
 from __future__ import annotations
 
 from .adapters import HISTORY_BEFORE, SCANNED_AT
+from .queries import CODES, DECODED, HEADERS, PATHS
 
 _SKU = (
     "upper(replace(p_brand, '#', '')) || '-' || upper(replace(p_type, ' ', '')) || '-' || "
@@ -279,3 +280,93 @@ SQL: dict[str, str] = {
     "cell_boxes": """SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS a, l_suppkey AS b,
         CAST(l_partkey + 4 AS INTEGER) AS x, CAST(l_suppkey + 3 AS INTEGER) AS y, CAST(greatest(4, l_quantity + 30 - 8) AS INTEGER) AS width, CAST(greatest(4, l_linenumber * 2 - 6) AS INTEGER) AS height FROM lineitem""",
 }
+
+_ID_TEXT = r"\b([0-9]{2})[-\s]?([0-9]{10})\b"
+_DATE_TEXT = r"\b([0-9]{4})[-\s]([0-9]{2})[-\s]([0-9]{2})\s+([0-9]{1,2})[:\s]([0-9]{2})"
+_JOINED = "nullif(regexp_replace(list_reduce(list_prepend('', {0}), lambda a, b: CASE WHEN a = '' OR ends_with(a, '-') OR starts_with(b, '-') THEN a || b ELSE a || '-' || b END), '\\s', '', 'g'), '')"
+
+
+def _elected(name: str, field: str) -> str:
+    return f"""{name} AS (SELECT k, {field} AS x FROM (SELECT k, {field}, count(*) AS n, min(v) AS f FROM parsed WHERE {field} IS NOT NULL GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, f) = 1)"""
+
+
+_CELLS = r"""
+cells AS (
+  SELECT row_number() OVER () AS id, l_orderkey AS k, l_linenumber AS line, lpad(CAST(l_partkey AS VARCHAR), 13, '0') AS item_barcode,
+    CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS q, l_partkey AS p, l_suppkey AS s FROM lineitem),
+texts AS (
+  SELECT id, 1 AS v, q AS t FROM cells
+  UNION ALL SELECT id, 2, CASE p % 3 WHEN 0 THEN '0' || q WHEN 1 THEN q || ' ' || q ELSE q END FROM cells
+  UNION ALL SELECT id, 3, CASE s % 4 WHEN 0 THEN '0' || q ELSE '' END FROM cells WHERE s % 4 < 2),
+voted AS (
+  SELECT id, nullif(t, '') AS t, n / sum(n) OVER (PARTITION BY id) AS agreement FROM (SELECT id, t, count(*) AS n, min(v) AS f FROM texts GROUP BY id, t)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, f) = 1)
+"""
+_FAULTY = (
+    ADAPTER.replace("\ndocs AS (", "\ndocs0 AS (")
+    .replace(
+        "\nitem AS (",
+        """
+docs AS (
+  SELECT * REPLACE (CASE WHEN doc_seq % 6 = 5 AND doc_id <> '' THEN doc_id || '0' ELSE doc_id END AS doc_id,
+    CASE WHEN doc_seq % 4 = 3 THEN replace(doc_date, '-', '/') ELSE doc_date END AS doc_date) FROM docs0),
+item0 AS (""",
+    )
+    .replace(
+        "\nearlier AS (",
+        """
+item AS (
+  SELECT * REPLACE (CASE WHEN row_number % 5 = 4 THEN left(item_barcode, 12) ELSE item_barcode END AS item_barcode,
+    CASE WHEN row_number % 7 = 3 THEN -quantity ELSE quantity END AS quantity) FROM item0),
+earlier AS (""",
+    )
+)
+
+SQL |= {
+    "header_fields": rf"""WITH {FIELD_TEXT}, t AS (SELECT k, unnest([{', '.join(HEADERS)}]) AS raw, unnest([1, 2, 3, 4]) AS v, {DECODED} AS decoded FROM fields),
+        r AS (SELECT k, v, trim(regexp_replace(regexp_replace(raw, '[\r\n]+', ' ', 'g'), '\s{{2,}}', ' ', 'g')) AS t FROM t),
+        i AS (SELECT k, v, t, regexp_extract(t, '{_ID_TEXT}') AS m, regexp_extract(t, '{_ID_TEXT}', 1) || '-' || regexp_extract(t, '{_ID_TEXT}', 2) AS id FROM r),
+        u AS (SELECT k, v, m, id, CASE WHEN m = '' THEN t ELSE left(t, instr(t, m) - 1) || ' ' || substr(t, instr(t, m) + length(m)) END AS t FROM i),
+        d AS (SELECT *, regexp_extract(t, '{_DATE_TEXT}') AS dm, regexp_extract(t, '{_DATE_TEXT}', ['y', 'mo', 'd', 'h', 'mi']) AS p FROM u),
+        w AS (SELECT *, CASE WHEN dm = '' THEN t ELSE left(t, instr(t, dm) - 1) || ' ' || substr(t, instr(t, dm) + length(dm)) END AS rest FROM d),
+        parsed AS (SELECT k, v, CASE WHEN m <> '' THEN id END AS shown, CASE WHEN dm <> '' THEN p.y || '-' || p.mo || '-' || p.d || ' ' || lpad(p.h, 2, '0') || ':' || p.mi END AS date,
+          nullif({_LONGEST.format("list_filter(" + _RUNS.format('rest') + ", lambda x: length(x) BETWEEN 4 AND 10 AND x[1] <> '0')")}, '') AS number FROM w),
+        {_elected('a', 'number')}, {_elected('b', 'date')}, {_elected('c', 'shown')},
+        e AS (SELECT f.k, t.decoded, a.x AS number, b.x AS date, c.x AS shown, '15-' || lpad(a.x, 10, '0') AS derived
+          FROM fields f JOIN t ON t.k = f.k AND t.v = 1 LEFT JOIN a ON a.k = f.k LEFT JOIN b ON b.k = f.k LEFT JOIN c ON c.k = f.k),
+        g AS (SELECT *, coalesce(decoded, derived, shown) AS doc_id FROM e)
+        SELECT k, doc_id, coalesce(CASE WHEN ltrim(substr(doc_id, 4), '0') = '' THEN '0' ELSE ltrim(substr(doc_id, 4), '0') END, number) AS doc_number, date AS doc_date,
+          decoded IS NOT NULL AS doc_id_from_barcode, coalesce(decoded <> derived, false) AS doc_id_mismatch FROM g""",
+    "cell_readings": f"""WITH {_CELLS},
+        skus AS (SELECT id, {_JOINED.format('a')} AS sku_latin, {_JOINED.format('b')} AS sku_cyrillic FROM (
+          SELECT id, CASE WHEN s % 5 = 0 THEN NULL WHEN p % 2 = 0 THEN ['AB' || p || '-CIF-', 'ALYJ'] ELSE ['AB' || p || '-CIF-ALYJ - X'] END AS a,
+            CASE p % 4 WHEN 0 THEN NULL WHEN 1 THEN ['Х-Х-АЛЫЙ-Х'] ELSE ['Х-Х-', 'АЛЫЙ'] END AS b FROM cells)),
+        merged AS (SELECT *, string_split(sku_latin, '-') AS x, string_split(sku_cyrillic, '-') AS y FROM skus),
+        read AS (SELECT id, t, agreement, TRY_CAST({_LONGEST.format(_RUNS.format("regexp_replace(t, chr(92) || 's', '', 'g')"))} AS BIGINT) AS number FROM voted)
+        SELECT k, line, item_barcode, CASE WHEN sku_latin IS NULL THEN sku_cyrillic WHEN sku_cyrillic IS NOT NULL AND len(x) = len(y) AND len(x) >= 3 AND y[3] <> ''
+          THEN array_to_string(list_concat(x[1:2], [y[3]], x[4:]), '-') ELSE sku_latin END AS sku, sku_latin, sku_cyrillic,
+          CASE WHEN number > 0 THEN number END AS quantity, t AS quantity_raw, agreement AS quantity_agreement
+        FROM cells JOIN merged USING (id) JOIN read USING (id)""",
+    "printed_totals": f"""WITH {_CELLS} SELECT k, line, item_barcode, TRY_CAST(nullif({_DIGITS.format('t')}, '') AS BIGINT) AS total FROM cells JOIN voted USING (id)""",
+    "column_probe": """WITH e AS (SELECT l_orderkey AS page, list(DISTINCT l_partkey ORDER BY l_partkey) AS edges FROM lineitem GROUP BY ALL),
+        w AS (SELECT page, len(edges) - 1 AS n, list_transform(range(1, len(edges)), lambda i: edges[i + 1] - edges[i]) AS widths FROM e WHERE len(edges) >= 4),
+        d AS (SELECT page, n, list_position(widths, list_max(widths)) AS named FROM w),
+        c AS (SELECT page, n, named, unnest([0, 1, -1, 2, -2]) + named AS c, unnest([1, 2, 3, 4, 5]) AS rank FROM d WHERE named < n),
+        b AS (SELECT page, any_value(n) AS n, coalesce(arg_min(c, rank) FILTER (c >= 0 AND c < n AND (page * 7 + c * 5) % 6 = 0), any_value(named)) AS b FROM c GROUP BY page)
+        SELECT page, CAST(CASE WHEN b >= 3 THEN b - 3 END AS INTEGER) AS row_number, CAST(CASE WHEN b >= 2 THEN b - 2 END AS INTEGER) AS sku,
+          CAST(CASE WHEN b >= 1 THEN b - 1 END AS INTEGER) AS description, CAST(b AS INTEGER) AS barcode, CAST(CASE WHEN b + 1 < n THEN b + 1 END AS INTEGER) AS price,
+          CAST(CASE WHEN b + 2 < n THEN b + 2 END AS INTEGER) AS quantity, CAST(CASE WHEN b + 3 < n THEN b + 3 END AS INTEGER) AS "sum" FROM b""",
+    "edge_similarity": """WITH e AS (SELECT l_orderkey AS page, list(DISTINCT l_partkey ORDER BY l_partkey) AS a FROM lineitem GROUP BY ALL),
+        p AS (SELECT page, a, lead(a) OVER (PARTITION BY o_custkey ORDER BY page) AS b FROM e JOIN orders ON o_orderkey = page)
+        SELECT page, len(list_filter(a, lambda x: len(list_filter(b, lambda y: abs(x - y) <= 20)) > 0)) / greatest(len(a), len(b)) AS similarity FROM p WHERE b IS NOT NULL""",
+    "accepted_codes": f"""WITH {FIELD_TEXT}, r AS (SELECT k, {CODES} AS t FROM fields)
+        SELECT k, CASE WHEN regexp_full_match(t, '[0-9]{{13}}') THEN t END AS barcode, CASE WHEN regexp_full_match(t, '[0-9]{{2}}-[0-9]{{10}}') THEN t END AS doc_id FROM r""",
+    "network_paths": f"WITH {FIELD_TEXT}, r AS (SELECT k, {PATHS} AS t FROM fields) SELECT k, left(t, 2) IN ('//', repeat(chr(92), 2)) AS is_network FROM r",
+    "stale_catalogues": f"""WITH {FIELD_TEXT} SELECT k, c % 5 = 0 OR c % 7 < 2 OR TIMESTAMP '1996-01-01 12:00:00' - (CAST(d AS TIMESTAMP) + INTERVAL 10 HOUR) > INTERVAL 8760 HOUR AS stale FROM fields""",
+    "catalogue_zip": """WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS pos, p_name AS sku FROM part),
+        b AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, CAST(c_custkey AS VARCHAR) AS barcode FROM customer) SELECT pos, sku, barcode FROM a JOIN b USING (pos)""",
+    "rule_histogram": f"""WITH {_FAULTY} SELECT code, severity, coalesce(field, '') AS field, count(*) AS n FROM (
+        SELECT code, severity, field FROM doc_issue UNION ALL SELECT code, severity, field FROM item_issue
+        UNION ALL SELECT 'DOC_DATE_FORMAT', 'warn', 'docDate' FROM checked WHERE NOT regexp_full_match(doc_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[ T][0-9]{{2}}:[0-9]{{2}}')) GROUP BY ALL""",
+}

@@ -6,13 +6,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fields
 from ..functions import voting
+from ..image import extract
 from ..operators import catalogue as cat
 from ..operators import layout, outputs, resolve, segment, validate
+from ..sources import tables as sources
 from ..streaming import batches
 from . import adapters
 
@@ -110,6 +112,127 @@ def _doc_id_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Four readings of a header, as its thresholds might give them, and what its bars decoded to.
+HEADERS = [
+    _by("k", 5, "concat(n, ' ', d, ' 19:38')", "concat('15-', lpad(n, 10, '0'))", "concat(n, '1 ', d, ' 9:38')", "''", "concat(cs, ' x')"),
+    _by("k", 4, "concat(n, '00 ', d, ' 19:38')", "concat(n, '00 ', d, ' 08:05')", "concat('no ', p)", "concat(cs, '77 ', n, '00')"),
+    _by("c", 3, "concat(n, '00 ', d, ' 19:38')", "concat('15-', lpad(n, 10, '0'), ' ', n, '00')", "''"),
+    _by("c", 4, "concat(d, ' 08:05 ', n, '00')", "concat(n, '1 ', d, ' 19:38')", "concat('998200', cs, ' ', n)", "p"),
+]
+DECODED = _by("c", 4, "concat('15-', lpad(n, 10, '0'))", "concat('15-', lpad(concat(n, '00'), 10, '0'))", "cast(null as string)", "cast(null as string)")
+CODES = _by("c", 5, "lpad(n, 13, '0')", "concat('15-', lpad(n, 10, '0'))", "lpad(n, 12, '0')", "concat(lpad(n, 13, '0'), chr(10))", "concat('15-', lpad(cs, 10, '0'), ' ')")
+PATHS = _by("c", 4, "concat('//host/', n)", "concat(chr(92), chr(92), 'host', chr(92), n)", "concat('/', n)", "concat('C:/', n)")
+
+
+def _header_fields(spark, sf_dir):
+    texts = F.array(*map(F.expr, HEADERS))
+    return _fields(spark, sf_dir).select("k", extract.header_fields(texts, F.expr(DECODED)).alias("h")).select("k", "h.*")
+
+
+def _cells(spark, sf_dir):
+    """Readings of one cell row for each line item: three of the quantity, one of the SKU in each alphabet."""
+    q, part, supplier = F.col("l_quantity").cast("bigint").cast("string"), F.col("l_partkey"), F.col("l_suppkey")
+    none = F.lit(None).cast("string")
+
+    def reading(text):
+        return F.struct(text.alias("text"), F.lit(90.0).alias("confidence"))
+
+    texts = [
+        q,
+        F.when(part % 3 == 0, F.concat(F.lit("0"), q)).when(part % 3 == 1, F.concat(q, F.lit(" "), q)).otherwise(q),
+        F.when(supplier % 4 == 0, F.concat(F.lit("0"), q)).when(supplier % 4 == 1, F.lit("")).otherwise(none),
+    ]
+    latin = F.when(supplier % 5 == 0, none).otherwise(F.concat(F.lit("AB"), part.cast("string"), F.lit("-CIF-"), F.when(part % 2 == 0, F.lit("\nALYJ")).otherwise(F.lit("ALYJ - X"))))
+    cyrillic = F.when(part % 4 == 0, none).when(part % 4 == 1, F.lit("Х-Х-АЛЫЙ-Х")).otherwise(F.lit("Х-Х-\nАЛЫЙ"))
+    cell = F.struct(
+        F.lit(0).alias("band_index"),
+        F.lpad(part.cast("string"), 13, "0").alias("item_barcode"),
+        F.array(*map(reading, texts)).alias("quantity"),
+        reading(latin).alias("latin"),
+        reading(cyrillic).alias("cyrillic"),
+    )
+    return adapters.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_suppkey", "l_shipdate", cell.alias("cell"))
+
+
+def _cell_readings(spark, sf_dir):
+    rows = _cells(spark, sf_dir).select("k", F.col("l_linenumber").alias("line"), extract.line_items(F.array("cell"))[0].alias("r"))
+    return rows.select("k", "line", "r.item_barcode", "r.sku", "r.sku_latin", "r.sku_cyrillic", "r.quantity", "r.quantity_raw", "r.quantity_agreement")
+
+
+def _printed_totals(spark, sf_dir):
+    rows = _cells(spark, sf_dir)
+    return rows.select("k", F.col("l_linenumber").alias("line"), F.col("cell.item_barcode"), extract.printed_total(F.col("cell.quantity")).alias("total"))
+
+
+def _edges(spark, sf_dir):
+    return adapters.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.sort_array(F.collect_set("l_partkey")).alias("edges"))
+
+
+def _column_probe(spark, sf_dir):
+    n = F.size("edges") - 1
+    decoded = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda c: (F.col("page") * 7 + c * 5) % 6 == 0)
+    found = _edges(spark, sf_dir).withColumn("barcode", layout.probed_column(F.col("edges"), decoded)).where("barcode is not null")
+    return found.select("page", layout.columns_around(F.col("barcode"), n).alias("c")).select("page", "c.*")
+
+
+def _edge_similarity(spark, sf_dir):
+    """How far the edges of each order are those of the next one of its customer, as of bands of a table."""
+    bands = _edges(spark, sf_dir).join(adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), "o_custkey"), "page")
+    following = F.lead("edges").over(Window.partitionBy("o_custkey").orderBy("page"))
+    pairs = bands.withColumn("next", following).where("next is not null")
+    return pairs.select("page", layout.similarity(F.col("edges"), F.col("next"), 20).alias("similarity"))
+
+
+def _accepted_codes(spark, sf_dir):
+    """Which texts count as an item's barcode and which as a document's id."""
+    text = F.expr(CODES)
+    return _fields(spark, sf_dir).select("k", fields.accept_item_barcode(text).alias("barcode"), fields.accept_doc_id(text).alias("doc_id"))
+
+
+def _network_paths(spark, sf_dir):
+    path = F.expr(PATHS)
+    return _fields(spark, sf_dir).select("k", fields.is_network_path(path).alias("is_network"))
+
+
+def _stale_catalogues(spark, sf_dir):
+    """Whether a catalogue synced at each order's time is stale, with the times that cannot be read."""
+    synced = F.when(F.col("c") % 7 == 0, F.lit(None).cast("string")).when(F.col("c") % 7 == 1, "soon").otherwise(F.concat("d", F.lit("T10:00:00Z")))
+    rows = _fields(spark, sf_dir)
+    return rows.select("k", fields.is_stale(synced, F.col("c") % 5, F.lit("1996-01-01T12:00:00Z"), 24 * 365).alias("stale"))
+
+
+def _catalogue_zip(spark, sf_dir):
+    """A column of SKUs and a shorter one of barcodes, kept apart, side by side by their places."""
+    return sources.read_columns(adapters.table(spark, sf_dir, "part"), "p_name", adapters.table(spark, sf_dir, "customer"), "c_custkey")
+
+
+def _faulty(documents, items):
+    """Fields that extraction would not let pass, so that every rule has something to find."""
+    seq = F.col("doc_seq")
+    bad_items = items.withColumns(
+        {
+            "item_barcode": F.when(F.col("row_number") % 5 == 4, F.substring("item_barcode", 1, 12)).otherwise(F.col("item_barcode")),
+            "quantity": F.when(F.col("row_number") % 7 == 3, F.lit(0) - F.col("quantity")).otherwise(F.col("quantity")),
+        }
+    )
+    bad_documents = documents.withColumns(
+        {
+            "doc_id": F.when((seq % 6 == 5) & (F.col("doc_id") != ""), F.concat(F.col("doc_id"), F.lit("0"))).otherwise(F.col("doc_id")),
+            "doc_date": F.when(seq % 4 == 3, F.replace("doc_date", F.lit("-"), F.lit("/"))).otherwise(F.col("doc_date")),
+        }
+    )
+    return bad_documents, bad_items
+
+
+def _rule_histogram(spark, sf_dir):
+    """How often each rule fires, by field, over documents and rows of which some break each of them."""
+    run = Run(spark, sf_dir)
+    documents, items = _faulty(run.documents, run.items)
+    checked, flagged = validate.validate(documents, resolve.resolve(items, run.catalogue, run.dictionary), run.history)
+    issues = checked.select(F.explode("issues").alias("i")).unionByName(flagged.select(F.explode("issues").alias("i")))
+    return issues.groupBy("i.code", "i.severity", F.coalesce("i.field", F.lit("")).alias("field")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _sheet_rows(spark, sf_dir):
     return outputs.sheet_rows(*Run(spark, sf_dir).validated)
 
@@ -319,6 +442,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "valid_sku": _scalar("shape", "valid", fields.valid_sku),
     "parse_header": _parse_header,
     "doc_id_roundtrip": _doc_id_roundtrip,
+    "header_fields": _header_fields,
+    "cell_readings": _cell_readings,
+    "printed_totals": _printed_totals,
+    "column_probe": _column_probe,
+    "edge_similarity": _edge_similarity,
+    "accepted_codes": _accepted_codes,
+    "network_paths": _network_paths,
+    "stale_catalogues": _stale_catalogues,
+    "catalogue_zip": _catalogue_zip,
+    "rule_histogram": _rule_histogram,
     "session_batches": _session_batches,
     "otsu_histogram": _otsu_histogram,
     "peak_merge": _peak_merge,

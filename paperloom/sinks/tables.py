@@ -29,11 +29,6 @@ def append(rows: DataFrame, path: str, batch_key: str) -> None:
     tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
-def append_index(entries: DataFrame, path: str) -> None:
-    """Adds JSON lines; readers skip entries with an empty id."""
-    entries.write.mode("append").json(path)
-
-
 def recover(spark: SparkSession, path: str) -> bool:
     """Puts the old table back if a swap was cut off between its renames."""
     at, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.old"))
@@ -95,8 +90,3 @@ def head(spark: SparkSession, path: str, n: int = 8) -> tuple[list, int]:
     """The first rows and the number of all rows."""
     table = spark.read.parquet(path)
     return table.limit(n).collect(), table.count()
-
-
-def archive_pages(pages: DataFrame, path: str) -> None:
-    """Page images by scan date and document, for the documents' PDFs."""
-    pages.write.mode("append").partitionBy("scan_date").parquet(path)

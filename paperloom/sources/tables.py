@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.catalogue import zip_columns
 from ..schemas import DOCUMENT_INDEX, SKU_CATALOGUE, SKU_DICTIONARY
 from ..streaming.batches import IMAGE_FILES
 
@@ -60,24 +61,35 @@ def list_images(spark: SparkSession, path: str, batch_id: str = "") -> DataFrame
     """
     files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(IMAGE_FILES))
     # numbering needs paths only: contents join back by path
-    order = F.row_number().over(_by_path())
+    order = F.row_number().over(Window.partitionBy("batch_id").orderBy("path"))
     numbered = files.select("path").withColumn("batch_id", F.lit(batch_id)).withColumn("page_index", order - 1)
     return numbered.join(files.select("path", "content"), "path").select("batch_id", "page_index", "path", "content")
 
 
-def _by_path():
-    from pyspark.sql import Window
+def with_positions(table: DataFrame) -> DataFrame:
+    """Adds ``pos``, from 0: the place of each row in the files that the table was read from, in order of their paths.
 
-    return Window.partitionBy("batch_id").orderBy("path")
+    Rows are numbered within the blocks that tasks read, and blocks by a running
+    sum over their sizes, of which there is one row a block; the rows themselves
+    are never sorted, and no task sees more than its blocks.
+    """
+    block = ["_path", "_start"]
+    seen = table.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    sizes = seen.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1))
+    begins = sizes.select(*block, (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    placed = seen.join(F.broadcast(begins), block)
+    return placed.withColumn("pos", F.col("_at") + F.col("_shift")).drop(*block, "_at", "_shift")
 
 
-def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """Spark's own image source (BMP, PNG, JPEG, TIFF), without broken files.
+def read_columns(skus: DataFrame, sku: str, barcodes: DataFrame, barcode: str) -> DataFrame:
+    """pos, sku, barcode of two columns that are kept apart, side by side to the shorter one.
 
-    Pixels come in BGR order.
+    Only these columns are read; see ``with_positions`` for their rows' places.
     """
-    images = spark.read.format("image").option("dropInvalid", True).load(path)
-    return images.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").where("height > 0")
+    left = with_positions(skus).select("pos", F.col(sku).cast("string").alias("value"))
+    right = with_positions(barcodes).select("pos", F.col(barcode).cast("string").alias("value"))
+    return zip_columns(left, right)
 
 
 def read_two_columns(table: DataFrame, sku: str, barcode: str, position: str) -> DataFrame:

@@ -103,7 +103,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     inside = Window.partitionBy("o_orderkey")
     key = F.col("o_orderkey")
-    every = orders.select("o_orderkey", "o_custkey", "o_orderdate").join(of_pages, "o_orderkey", "left").withColumn("page_no", F.coalesce("page_no", F.lit(0)))
+    # a batch keeps the partitions that its pages are numbered in
+    heads = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("batch_id"), "o_orderdate")
+    every = heads.join(of_pages, "o_orderkey", "left").withColumn("page_no", F.coalesce("page_no", F.lit(0)))
     last = F.col("page_no") == F.max("page_no").over(inside)
     printed = F.coalesce(F.sum("page_quantity").over(inside), F.lit(0)) + F.when(key % 17 == 0, 1).otherwise(0)
     total = F.struct(
@@ -114,9 +116,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("cells", F.array().cast("array<struct<rn:int,item_barcode:string,sku:string,quantity:bigint>>")),
         lambda c, k: F.struct(k.alias("band_index"), c["item_barcode"].alias("item_barcode"), c["sku"].alias("sku"), c["quantity"].alias("quantity"), c["quantity"].cast("string").alias("quantity_raw")),
     )
-    of_batch = Window.partitionBy("o_custkey").orderBy("o_orderkey", "page_no")
+    of_batch = Window.partitionBy("batch_id").orderBy("o_orderkey", "page_no")
     return every.select(
-        F.col("o_custkey").cast("string").alias("batch_id"),
+        "batch_id",
         (F.row_number().over(of_batch) - 1).alias("page_index"),
         ((F.col("page_no") == 0) & (key % 11 != 0)).alias("is_header_page"),
         F.when(key % 23 != 0, F.concat(F.lit("15-"), _padded("o_orderkey", 10))).alias("doc_id"),

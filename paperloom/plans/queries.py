@@ -14,6 +14,7 @@ from ..functions import voting
 from ..image import extract
 from ..operators import catalogue as cat
 from ..operators import layout, outputs, resolve, segment, validate
+from ..sinks import tables as sinks
 from ..sources import tables as sources
 from ..streaming import batches
 from . import adapters
@@ -21,7 +22,11 @@ from . import adapters
 
 @dataclass
 class Run:
-    """One run over the adapter's tables; every step is a lazy plan."""
+    """One run over the adapter's tables.
+
+    Steps are lazy plans, but what validation reads several times, the segmented
+    pages and the resolved items, is written once, as a run does.
+    """
 
     spark: SparkSession
     sf_dir: str
@@ -56,6 +61,8 @@ class Run:
 
     @cached_property
     def validated(self) -> tuple[DataFrame, DataFrame]:
+        self.segmented = sinks.stored(self.segmented, "segmented")
+        self.resolved = sinks.stored(self.resolved, "resolved")
         return validate.validate(self.documents, self.resolved, self.history)
 
 

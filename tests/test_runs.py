@@ -164,3 +164,9 @@ def test_broadcast_is_bounded_by_rows_and_bytes(spark):
 def test_run_summary_joins_nothing(spark, tmp_path):
     plan = catalog.queries()["run_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_sheet_rows_reads_each_step_once(spark):
+    plan = catalog.queries()["sheet_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange hashpartitioning") <= 12 and "lineitem.parquet" not in plan

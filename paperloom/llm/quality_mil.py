@@ -68,15 +68,14 @@ def passage_measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     owner = np.repeat(np.arange(texts), n_passages)
     inside = np.arange(first[-1]) - first[owner]
     measures[:, -1] = np.log1p(n_words)[owner]
-    if not len(hashes):
-        return measures, first
     # the words of a passage, and its bytes up to the next passage of its text
     low = at[owner] + inside * PASSAGE_WORDS
     high = np.minimum(low + PASSAGE_WORDS, at[owner + 1])
     words = np.maximum(high - low, 1)
     begin = _begins(data, offsets)
     some = high > low
-    byte_low = np.where(inside > 0, begin[np.minimum(low, len(begin) - 1)], offsets[owner])
+    byte_low = offsets[owner].copy()
+    byte_low[inside > 0] = begin[low[inside > 0]]
     byte_high = np.where(np.arange(len(owner)) + 1 < first[owner + 1], np.append(byte_low, len(data))[1:][np.arange(len(owner))], offsets[owner + 1])
     for column, table in enumerate(_CLASSES):
         sums = np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)])

@@ -32,7 +32,6 @@ from .common import read_table
 from .labelled import filtered, held_out, scored, training_rows
 
 TRAINING_ROWS = 12_000
-LEXICON_BOUND = 400
 #: An entry's documents must be toxic in at least this share, and so unlikely
 #: by chance (natural logarithm of the binomial tail's bound).
 LEAST_PRECISION = 0.9
@@ -184,10 +183,11 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> t
     return q, weight
 
 
-def classifier_inputs(hits, distinct, n_words, shares, present) -> np.ndarray:
+def classifier_inputs(hits, distinct, n_words, shares) -> np.ndarray:
+    """The inputs beside the lexicon's entries, each of which is an input of its own."""
     density = np.minimum(hits / np.maximum(n_words, 1), 0.2)
     columns = [np.log1p(hits), np.log1p(distinct), 10 * density, (hits == 0) * 1.0, np.minimum(shares[:, 1], 1), np.minimum(shares[:, 2], 1)]
-    return np.concatenate([np.stack(columns, 1), present, np.ones((len(hits), 1))], 1)
+    return np.stack(columns, 1)
 
 
 def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1e-3, steps: int = 25) -> np.ndarray:
@@ -201,9 +201,6 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1e-3, steps: int
     return w
 
 
-#: Lexicon entries that are inputs of the classifier on their own.
-OWN_INPUTS = 64
-
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = TRAINING_ROWS) -> Model | None:
     """Fits lexicon, label model and classifier; None without both classes."""
@@ -224,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = T
     rate = np.clip(with_ / np.maximum(seen, 1), 1e-9, 1 - 1e-9)
     evidence = seen * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
     chosen = np.flatnonzero((rate >= LEAST_PRECISION) & (evidence >= LEAST_EVIDENCE))
-    lexicon = chosen[np.argsort(-evidence[chosen], kind="stable")][:LEXICON_BOUND]
+    lexicon = chosen[np.argsort(-evidence[chosen], kind="stable")]
     place = np.full(size, -1)
     place[lexicon] = np.arange(len(lexicon))
     present = np.zeros((len(y), len(lexicon)), np.float32)
@@ -240,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = T
     votes = np.concatenate([present, pattern_votes(hits, distinct, n_words, shares)], 1)
     start = np.where(distinct >= 3, 0.95, np.where(distinct > 0, 0.6, 0.02))
     q, _ = label_model(votes, start)
-    x = classifier_inputs(hits, distinct, n_words, shares, present[:, :OWN_INPUTS])
+    x = np.concatenate([classifier_inputs(hits, distinct, n_words, shares), present, np.ones((len(y), 1))], 1)
     w = logistic(x, q)
     # the intercept that errs least on the training fold's labels; the last cut is
     # above all rows, so that a classifier that found nothing calls nothing toxic
@@ -263,24 +260,24 @@ def scorer(model: Model | None):
         if model is None:
             return np.zeros(len(texts))
         if place is None:
-            place = np.zeros(1 << BUCKET_BITS, np.int16)
+            place = np.zeros(1 << BUCKET_BITS, np.int32)
             place[model.lexicon] = np.arange(1, len(model.lexicon) + 1)
-        own_inputs, scores = min(OWN_INPUTS, len(model.lexicon)), [np.zeros(0)]
+        n_entries, scores = len(model.lexicon), [np.zeros(0)]
+        general, own, intercept = model.weights[: -n_entries - 1], model.weights[-n_entries - 1 : -1], model.weights[-1]
         for data, offsets in text_chunks(texts):
             n = len(offsets) - 1
             units, at = word_units(data, offsets)
             entry = place[units]
             word, column = np.nonzero(entry * _own(units))
             text = np.searchsorted(at, word, "right") - 1
-            pairs = np.unique(text * (LEXICON_BOUND + 1) + entry[word, column])
-            owner, which = pairs // (LEXICON_BOUND + 1), pairs % (LEXICON_BOUND + 1) - 1
+            pairs = np.unique(text.astype(np.int64) * (n_entries + 1) + entry[word, column])
+            owner, which = pairs // (n_entries + 1), pairs % (n_entries + 1) - 1
             distinct = np.bincount(owner, minlength=n).astype(float)
             hits = np.bincount(text, minlength=n).astype(float)
-            present = np.zeros((n, own_inputs))
-            present[owner[which < own_inputs], which[which < own_inputs]] = 1
             n_words = np.diff(at)
-            x = classifier_inputs(hits, distinct, n_words, _shares(data, offsets, n_words), present)
-            scores.append(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
+            margin = classifier_inputs(hits, distinct, n_words, _shares(data, offsets, n_words)) @ general + intercept
+            margin += np.bincount(owner, weights=own[which], minlength=n)
+            scores.append(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
         return np.concatenate(scores)
 
     return score

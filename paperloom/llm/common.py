@@ -94,6 +94,10 @@ class Shelf:
                 self._held.remove(held)
                 discard(self._spark, held[1])
 
+    def clear(self) -> None:
+        """Nothing may read any of the tables any more."""
+        self.drop(*(table for table, _ in self._held))
+
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text; other columns never matter."""

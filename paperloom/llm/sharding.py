@@ -19,7 +19,8 @@ steps keep to them, so counts are at most one apart.
 
 No group meets in one task: counts combine before the shuffle, joins on a hub
 are plain equi-joins that adaptive execution splits, and ranks are taken
-within the partitions of the written table, whose totals are added up.  The
+within the even partitions of the written table, whose totals are added up.
+Tables of a round are removed when its successor is written.  The
 driver sees one row per distinct hub size (at most sqrt(2 n) for n rows) and
 the hubs that are cut.
 
@@ -33,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, read_table, stored
+from .common import Shelf, id_text, read_table
 
 N_SHARDS = 8
 #: monotonically_increasing_id() has the partition above this bit.
@@ -134,18 +135,19 @@ def _dealt(cut: list[tuple], capacity: list[int], room: list[int], kept: list[in
     return spans
 
 
-def _first_labels(links: DataFrame, capacity: list[int]) -> DataFrame:
+def _first_labels(links: DataFrame, capacity: list[int], shelf: Shelf) -> DataFrame:
     """node, shard: every hub that the plan has room for lies whole in a shard."""
     spark = links.sparkSession
-    homes = stored(links.groupBy("node").agg(F.min("hub").alias("home")), "shard-homes")
+    homes = shelf.put(links.groupBy("node").agg(F.min("hub").alias("home")), "shard-homes")
     sizes = homes.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
-    hubs = stored(sizes.withColumn("node", F.monotonically_increasing_id()), "shard-hubs")
+    hubs = shelf.put(sizes.withColumn("node", F.monotonically_increasing_id()), "shard-hubs")
     classes = [(r["n"], r["c"]) for r in hubs.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()]
     spans, room, kept = plan(classes, capacity)
     table = F.broadcast(spark.createDataFrame(spans, "n long, low long, high long, shard int"))
     ranked = _ranked(hubs, "n")
     at = (ranked["n"] == table["n"]) & (ranked["rank"] >= table["low"]) & (ranked["rank"] < table["high"])
-    placed = stored(ranked.join(table, at, "left").select("home", ranked["n"], "shard"), "shard-hub-labels")
+    placed = shelf.put(ranked.join(table, at, "left").select("home", ranked["n"], "shard"), "shard-hub-labels")
+    shelf.drop(hubs)
     whole = homes.join(placed.where("shard is not null").select("home", "shard"), "home").select("node", "shard")
     cut = [(r["home"], r["n"]) for r in placed.where("shard is null").select("home", "n").collect()]
     if not cut:
@@ -163,13 +165,15 @@ def _together(state: DataFrame) -> int:
     return tally.agg(F.coalesce(F.sum(F.col("w") * F.col("w")), F.lit(0)).alias("pairs")).first()["pairs"]
 
 
-def propagate(links: DataFrame, capacity: list[int]) -> DataFrame:
+def propagate(links: DataFrame, capacity: list[int], shelf: Shelf | None = None) -> DataFrame:
     """Labels for ``links(node, hub)``: node and shard, one row per linked node.
 
     ``capacity``: the most linked nodes of each shard; their sum must cover all.
     ``node`` must come from ``monotonically_increasing_id`` of a written table.
     """
-    state = stored(links.join(_first_labels(links, capacity), "node"), "shard-labels")
+    shelf, own = shelf or Shelf(links.sparkSession), Shelf(links.sparkSession)
+    state = shelf.put(links.join(_first_labels(links, capacity, own), "node"), "shard-labels")
+    own.clear()
     together = _together(state)
     while True:
         labels = state.dropDuplicates(["node"])
@@ -184,18 +188,22 @@ def propagate(links: DataFrame, capacity: list[int]) -> DataFrame:
         choice = F.struct("w", F.xxhash64("hub", "to"))
         wishes = votes.groupBy("node", "shard").agg(F.max_by("to", choice).alias("to")).where("to <> shard")
         ranked = _ranked(wishes.select("node", "to"), "to")
-        moves = stored(ranked.where(F.col("rank") < _of_shard(room, "to")).select("node", "to"), "shard-moves")
+        moves = own.put(ranked.where(F.col("rank") < _of_shard(room, "to")).select("node", "to"), "shard-moves")
         if moves.isEmpty():
             break
-        moved = stored(
+        moved = shelf.put(
             state.join(moves, "node", "left").select("node", "hub", F.coalesce("to", "shard").alias("shard")),
             "shard-labels",
         )
+        own.clear()
         # the count grows with every round that is kept, so rounds end
         now = _together(moved)
         if now <= together:
+            shelf.drop(moved)
             break
+        shelf.drop(state)
         state, together = moved, now
+    own.clear()
     return state.dropDuplicates(["node"]).select("node", "shard")
 
 
@@ -209,25 +217,29 @@ def cut_links(assigned: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, hub, shard, slot of every row of ``docs``."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    base = stored(
-        id_text(docs).select(
-            "doc_id",
-            (F.length(raw) + 1).cast("long").alias("size"),
-            F.crc32(raw).alias("text_crc32"),
-            F.when(F.col("text").isNotNull(), F.unhex(F.md5(raw))).alias("hub"),
-            F.monotonically_increasing_id().alias("node"),
-        ),
-        "shard-nodes",
+    shelf = Shelf(docs.sparkSession)
+    digests = id_text(docs).select(
+        "doc_id",
+        (F.length(raw) + 1).cast("long").alias("size"),
+        F.crc32(raw).alias("text_crc32"),
+        F.when(F.col("text").isNotNull(), F.unhex(F.md5(raw))).alias("hub"),
     )
+    # dealt evenly before they are numbered, as ranks are taken within these partitions
+    even = digests.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    base = shelf.put(even.withColumn("node", F.monotonically_increasing_id()), "shard-nodes")
     shared = base.where("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    links = stored(base.join(shared.select("hub"), "hub").select("node", "hub"), "shard-links")
+    links = shelf.put(base.join(shared.select("hub"), "hub").select("node", "hub"), "shard-links")
     total = base.count()
     capacity = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    labels = stored(propagate(links, capacity), "shard-linked")
+    found = Shelf(docs.sparkSession)
+    labels = shelf.put(propagate(links, capacity, found), "shard-linked")
+    found.clear()
+    shelf.drop(links)
     room = [c - n for c, n in zip(capacity, _counts(labels, n_shards))]
     free = base.join(labels, "node", "left_anti").select("node")
     filled = _ranked(free).select("node", _filled(F.col("rank"), room).cast("int").alias("shard"))
-    placed = stored(labels.unionByName(filled), "shard-placed")
+    placed = shelf.put(labels.unionByName(filled), "shard-placed")
+    shelf.drop(labels)
     return base.join(_ranked(placed, "shard"), "node").select(
         "doc_id", "size", "text_crc32", "hub", "shard", F.col("rank").alias("slot")
     )

@@ -94,7 +94,7 @@ def line_fails(line: Column) -> Column:
         symbols = F.regexp_count(x, F.lit(SYMBOLS))
         shouts = F.regexp_count(x, F.lit("!"))
         separators = F.regexp_count(x, F.lit(SEPARATORS))
-        ended = F.right(F.rtrim(x), F.lit(1)).isin(*END_MARKS) | x.rlike(SENTENCE_MARKS)
+        ended = F.right(F.regexp_replace(x, SPACE_CLASS + r"+\z", ""), F.lit(1)).isin(*END_MARKS) | x.rlike(SENTENCE_MARKS)
         unended = (n >= LINE_WORDS) & ~ended
         stock = F.lit(False)
         for phrase in BOILERPLATE:
@@ -159,7 +159,7 @@ judged AS (
     len(regexp_extract_all(line, '[#*$%&|<>]')) * 2 > n
     OR (n >= {LINE_WORDS} AND len(regexp_extract_all(line, '!')) * 2 > n)
     OR len(regexp_extract_all(line, ' [|»›·•>] ')) * 3 >= n
-    OR (n >= {LINE_WORDS} AND right(rtrim(line, ' '), 1) NOT IN ({_MARKS}) AND NOT regexp_matches(line, '{SENTENCE_MARKS}'))
+    OR (n >= {LINE_WORDS} AND right(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ({_MARKS}) AND NOT regexp_matches(line, '{SENTENCE_MARKS}'))
     OR {_STOCK} AS fails
   FROM lines WHERE n > 0),
 line_counts AS (

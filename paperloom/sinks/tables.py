@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import DOCUMENT_INDEX
 from ..sources.tables import exists
 
 
@@ -29,6 +30,15 @@ def append(rows: DataFrame, path: str, batch_key: str) -> None:
     tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
+def export_index(index: DataFrame, path: str) -> None:
+    """The document index as JSON lines, which ``sources.read_index`` reads; a repeated export replaces it.
+
+    Entries with an empty id are written too; readers skip them.
+    """
+    names = [f.split(" ")[0] for f in DOCUMENT_INDEX.split(", ")]
+    index.select(*names).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
+
 def recover(spark: SparkSession, path: str) -> bool:
     """Puts the old table back if a swap was cut off between its renames."""
     at, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.old"))

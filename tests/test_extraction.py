@@ -169,15 +169,18 @@ def test_formats_give_the_same_record_and_their_dpi(spark, tmp_path):
     (folder / "a.bmp").write_bytes(bmp.encode_bmp(image, 600))
     (folder / "b.PNG").write_bytes(encode.encode_png(image, 300))
     (folder / "c.tiff").write_bytes(tiff(image[..., 0], 200))
-    (folder / "d.txt").write_bytes(b"x")
+    (folder / "e.txt").write_bytes(b"x")
+    java = spark._jvm.javax.imageio.ImageIO
+    drawing = java.read(spark._jvm.java.io.File(str(folder / "b.PNG")))
+    assert java.write(drawing, "jpg", spark._jvm.java.io.File(str(folder / "d.jpeg")))
     found = images.read_images(spark, str(folder))
     got = extract.extract_pages(found, drawn.read).orderBy("page_index").collect()
-    assert [(r.batch_id, r.page_index, r.dpi, r.path.rsplit("/", 1)[1]) for r in got] == [("scan1", 0, 600, "a.bmp"), ("scan1", 1, 300, "b.PNG"), ("scan1", 2, 200, "c.tiff")]
+    assert [(r.batch_id, r.page_index, r.dpi, r.path.rsplit("/", 1)[1]) for r in got] == [("scan1", 0, 600, "a.bmp"), ("scan1", 1, 300, "b.PNG"), ("scan1", 2, 200, "c.tiff"), ("scan1", 3, None, "d.jpeg")]
     same = [r.asDict() for r in got]
     for r in same:
         for name in ("path", "page_index", "dpi"):
             r.pop(name)
-    assert same[0] == same[1] == same[2] and same[0]["doc_id"] == "15-0000163307"
+    assert same[0] == same[1] == same[2] == same[3] and same[0]["doc_id"] == "15-0000163307"
     (folder / "e.png").write_bytes(b"\x89PNG\r\n\x1a\nbroken")
     with pytest.raises(Exception, match="not a readable image"):
         images.read_images(spark, str(folder)).select("path").collect()

@@ -11,6 +11,7 @@ from paperloom import config
 from paperloom.image import bmp, extract
 from paperloom.sinks import documents as pdfs
 from paperloom.sinks import tables as sinks
+from paperloom.sources import tables as sources
 from paperloom.streaming import jobs, runs, sessions
 
 from . import drawn
@@ -97,6 +98,17 @@ def test_unfinished_runs_make_no_duplicates_and_leave_nothing(spark, tmp_path, m
     assert store.history("c").count() == 1
 
 
+def test_the_index_is_exported_as_lines(spark, tmp_path):
+    store = runs.Store(spark, str(tmp_path / "s"))
+    rows = [page(0, True, rows=[(BAR, "A-B-Я", 2)]), page(1, True, doc_id=None, number=None)]
+    runs.process(spark.createDataFrame(rows, PAGE), store, "a", "t1")
+    index = spark.read.parquet(store.path("index"))
+    for _ in range(2):
+        sinks.export_index(index, str(tmp_path / "index.jsonl"))
+    assert index.count() == 2
+    assert [r.docId for r in sources.read_index(spark, str(tmp_path / "index.jsonl")).collect()] == ["15-0000163307"]
+
+
 def test_scan_times_are_kept(spark, tmp_path):
     store = runs.Store(spark, str(tmp_path))
     first = store.scan_time("r")

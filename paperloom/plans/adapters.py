@@ -50,16 +50,15 @@ def catalogue_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some of the parts that the catalogue lacks, confirmed or from OCR.
+    """Those of the parts that the catalogue lacks which were sold as promotion or economy, confirmed or from OCR.
 
-    Three quarters of those parts are left out by key, so that some barcodes are
-    unknown to both tables and resolution has rows without a SKU to report.
+    Parts of other types are unknown to both tables, so resolution has rows without a SKU to report.
     """
-    rows = table(spark, sf_dir, "part").where("p_size >= 40 and p_partkey % 4 = 0")
+    rows = table(spark, sf_dir, "part").where("p_size >= 40 and p_type in ('PROMO', 'ECONOMY')")
     return rows.select(
         _padded("p_partkey", 13).alias("barcode"),
         F.concat(F.lit("OLD-"), part_sku()).alias("sku"),
-        F.when(F.col("p_partkey") % 8 == 0, "confirmed").otherwise("ocr").alias("source"),
+        F.when(F.col("p_type") == "PROMO", "confirmed").otherwise("ocr").alias("source"),
         F.lit(1).cast("bigint").alias("seen"),
         F.lit("2026-01-01T00:00:00.000Z").alias("last_seen"),
     )

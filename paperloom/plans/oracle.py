@@ -19,9 +19,9 @@ ADAPTER = rf"""
 parts AS (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 13, '0') AS barcode, {_SKU} AS part_sku FROM part),
 catalogue AS (SELECT barcode, part_sku AS sku FROM parts WHERE p_size < 40),
 dictionary AS (
-  SELECT barcode, 'OLD-' || part_sku AS sku, CASE WHEN p_partkey % 8 = 0 THEN 'confirmed' ELSE 'ocr' END AS source,
+  SELECT barcode, 'OLD-' || part_sku AS sku, CASE WHEN p_type = 'PROMO' THEN 'confirmed' ELSE 'ocr' END AS source,
          CAST(1 AS BIGINT) AS seen, '2026-01-01T00:00:00.000Z' AS last_seen
-  FROM parts WHERE p_size >= 40 AND p_partkey % 4 = 0),
+  FROM parts WHERE p_size >= 40 AND p_type IN ('PROMO', 'ECONOMY')),
 history AS (SELECT '15-' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS doc_id FROM orders WHERE o_orderdate < TIMESTAMP '{HISTORY_BEFORE}'),
 cells AS (
   SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,

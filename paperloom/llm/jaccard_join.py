@@ -71,9 +71,8 @@ TREE_PAIRS = 8
 ROUND_LINKS = 500
 #: Shingles in at least this share of documents come last in the common order.
 FREQUENT_SHARE = 0.002
-#: Nodes of one R-tree that a task holds, 16 MB of vectors at most; larger trees
-#: are split into blocks, and each node travels once for every block it meets.
-BLOCK_NODES = 4096
+#: Nodes of one R-tree that a task holds; larger trees are split into blocks.
+BLOCK_NODES = 1024
 #: Trees of so few nodes are compared in bulk; larger ones have boxes of BOX points.
 LEAF, BOX = 16, 64
 #: Nodes of small trees that share a home, and so travel once; more are sent by tree.

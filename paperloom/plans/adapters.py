@@ -55,10 +55,19 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     Parts of other types are unknown to both tables, so resolution has rows without a SKU to report.
     """
     rows = table(spark, sf_dir, "part").where("p_size >= 40 and p_type in ('PROMO', 'ECONOMY')")
-    return rows.select(
+    return _entries(rows, F.col("p_type") == "PROMO")
+
+
+def whole_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part that the catalogue lacks, confirmed or from OCR."""
+    return _entries(table(spark, sf_dir, "part").where("p_size >= 40"), F.col("p_partkey") % 8 == 0)
+
+
+def _entries(parts: DataFrame, confirmed: Column) -> DataFrame:
+    return parts.select(
         _padded("p_partkey", 13).alias("barcode"),
         F.concat(F.lit("OLD-"), part_sku()).alias("sku"),
-        F.when(F.col("p_type") == "PROMO", "confirmed").otherwise("ocr").alias("source"),
+        F.when(confirmed, "confirmed").otherwise("ocr").alias("source"),
         F.lit(1).cast("bigint").alias("seen"),
         F.lit("2026-01-01T00:00:00.000Z").alias("last_seen"),
     )

@@ -109,8 +109,12 @@ reviewed AS (
 """
 
 
-def over(sql: str) -> str:
-    return f"WITH {ADAPTER} {sql}"
+#: With every part that the catalogue lacks in the dictionary.
+WHOLE = ADAPTER.replace(" AND p_type IN ('PROMO', 'ECONOMY')", "").replace("WHEN p_type = 'PROMO'", "WHEN p_partkey % 8 = 0")
+
+
+def over(sql: str, adapter: str = ADAPTER) -> str:
+    return f"WITH {adapter} {sql}"
 
 
 _READINGS = """
@@ -182,7 +186,7 @@ SQL: dict[str, str] = {
     "catalogue_report": f"""WITH {_RAW} SELECT (SELECT count(*) FROM raw) AS rows_read, (SELECT count(*) FROM raw) - (SELECT count(*) FROM good) AS skipped,
         (SELECT count(*) FROM winners) AS entries""",
     "sku_source_mix": over("SELECT sku_source, count(*) AS n_rows, count(DISTINCT item_barcode) AS n_barcodes FROM resolved GROUP BY ALL"),
-    "sku_batch_fallback": over("SELECT batch_id, doc_seq, row_number, item_barcode, ocr_sku, sku, sku_source, trusted FROM resolved"),
+    "sku_batch_fallback": over("SELECT batch_id, doc_seq, row_number, item_barcode, ocr_sku, sku, sku_source, trusted FROM resolved", WHOLE),
     "dictionary_merge": over(
         f"""SELECT barcode, CASE WHEN d.source = 'confirmed' THEN d.sku ELSE coalesce(u.sku, d.sku) END AS sku, coalesce(d.source, 'ocr') AS source,
         CAST(coalesce(d.seen, 0) + coalesce(u.n, 0) AS BIGINT) AS seen, CASE WHEN u.n IS NOT NULL THEN '{SCANNED_AT}' ELSE d.last_seen END AS last_seen

@@ -30,6 +30,7 @@ class Run:
 
     spark: SparkSession
     sf_dir: str
+    whole_dictionary: bool = False
 
     @cached_property
     def segmented(self) -> DataFrame:
@@ -49,7 +50,8 @@ class Run:
 
     @cached_property
     def dictionary(self) -> DataFrame:
-        return adapters.dictionary(self.spark, self.sf_dir)
+        entries = adapters.whole_dictionary if self.whole_dictionary else adapters.dictionary
+        return entries(self.spark, self.sf_dir)
 
     @cached_property
     def history(self) -> DataFrame:
@@ -286,7 +288,8 @@ def _sku_source_mix(spark, sf_dir):
 
 
 def _sku_batch_fallback(spark, sf_dir):
-    return Run(spark, sf_dir).resolved.select("batch_id", "doc_seq", "row_number", "item_barcode", "ocr_sku", "sku", "sku_source", "trusted")
+    run = Run(spark, sf_dir, whole_dictionary=True)
+    return run.resolved.select("batch_id", "doc_seq", "row_number", "item_barcode", "ocr_sku", "sku", "sku_source", "trusted")
 
 
 def _dictionary_merge(spark, sf_dir):

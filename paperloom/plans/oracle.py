@@ -193,7 +193,8 @@ SQL: dict[str, str] = {
         FROM dictionary d FULL JOIN (
           SELECT barcode, sku, n FROM (SELECT item_barcode AS barcode, sku, count(*) OVER (PARTITION BY item_barcode) AS n,
             row_number() OVER (PARTITION BY item_barcode ORDER BY batch_id DESC, doc_seq DESC, row_number DESC) AS back
-            FROM resolved WHERE sku_source = 'ocr' AND valid_shape) WHERE back = 1) u USING (barcode)"""
+            FROM resolved WHERE sku_source = 'ocr' AND valid_shape) WHERE back = 1) u USING (barcode)""",
+        WHOLE,
     ),
     "dictionary_confirm": """WITH d AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 13, '0') AS barcode, p_brand AS sku, p_size FROM part)
         SELECT barcode, CASE WHEN p_size % 3 = 0 THEN 'NEW-' || sku ELSE sku END AS sku, CASE WHEN p_size % 3 = 0 THEN 'confirmed' ELSE 'ocr' END AS source,

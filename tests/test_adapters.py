@@ -24,3 +24,8 @@ def test_the_whole_dictionary_has_every_part_that_the_catalogue_lacks(spark):
 def test_resolution_leaves_no_row_without_a_sku(spark):
     found = catalog.queries()["sku_batch_fallback"](spark, SF)
     assert found.where("sku is null or sku_source = 'none'").count() == 0
+
+
+def test_a_merge_keeps_entries_that_no_row_names(spark):
+    found = {r.barcode: (r.source == "confirmed") for r in catalog.queries()["dictionary_merge"](spark, SF).collect()}
+    assert found == {r.barcode: r.confirmed for r in lacking(spark).collect()}

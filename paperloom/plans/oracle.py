@@ -224,7 +224,8 @@ SQL: dict[str, str] = {
         """SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM placed WHERE doc_seq = 0) AS orphan_pages,
         (SELECT count(*) FROM item) AS rows_appended, (SELECT count(*) FROM reviewed WHERE needs_review) AS flagged_rows,
         (SELECT count(DISTINCT item_barcode) FROM resolved WHERE trusted) AS sku_resolved, (SELECT count(*) FROM resolved WHERE sku_source = 'ocr') AS sku_from_ocr,
-        (SELECT count(*) FROM catalogue) AS catalogue_entries"""
+        (SELECT count(*) FROM catalogue) AS catalogue_entries""",
+        WHOLE,
     ),
     "pdf_manifest": over(
         """SELECT batch_id, doc_seq, '2026-03-05/' || CASE WHEN doc_id <> '' THEN doc_id ELSE 'unknown_' || first_page END || '.pdf' AS pdf_path,

@@ -29,3 +29,9 @@ def test_resolution_leaves_no_row_without_a_sku(spark):
 def test_a_merge_keeps_entries_that_no_row_names(spark):
     found = {r.barcode: (r.source == "confirmed") for r in catalog.queries()["dictionary_merge"](spark, SF).collect()}
     assert found == {r.barcode: r.confirmed for r in lacking(spark).collect()}
+
+
+def test_the_summary_counts_rows_of_every_entry_from_ocr(spark):
+    codes = [r.barcode for r in lacking(spark).where("not confirmed").collect()]
+    items = Run(spark, SF).items
+    assert catalog.queries()["run_summary"](spark, SF).first().sku_from_ocr == items.where(items.item_barcode.isin(codes)).count()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .validate import flagged_rows
+
 FLAG = "⚠"
 
 
@@ -19,35 +21,42 @@ def sheet_rows(documents: DataFrame, items: DataFrame) -> DataFrame:
 def log_rows(documents: DataFrame, items: DataFrame, scanned_at: str) -> DataFrame:
     """The log: issues of documents, also of those without items, and of items."""
     path = F.coalesce("pdf_path", F.lit("")) if "pdf_path" in documents.columns else F.lit("")
-    heads = documents.select("batch_id", "doc_seq", "doc_id", F.coalesce("doc_number", F.lit("")).alias("doc_number"), path.alias("pdf_path"))
-    of_documents = documents.select("batch_id", "doc_seq", F.explode("issues").alias("i"))
-    of_items = items.select("batch_id", "doc_seq", F.explode("issues").alias("i"))
-    return (
-        of_documents.unionByName(of_items)
-        .join(heads, ["batch_id", "doc_seq"])
-        .select(
-            "batch_id",
-            "doc_seq",
-            F.lit(scanned_at).alias("scanned_at"),
-            "doc_id",
-            "doc_number",
-            F.coalesce(F.col("i.row_number").cast("string"), F.lit("")).alias("row_number"),
-            F.coalesce("i.field", F.lit("")).alias("field"),
-            "i.code",
-            "i.severity",
-            "i.message",
-            "pdf_path",
-        )
+    head = ["batch_id", "doc_seq", "doc_id", F.coalesce("doc_number", F.lit("")).alias("doc_number"), path.alias("pdf_path")]
+    of_documents = documents.select(*head, "issues")
+    of_items = items.where(F.size("issues") > 0).join(documents.select(*head), ["batch_id", "doc_seq"]).select(*of_documents.columns)
+    return of_documents.withColumn("i", F.explode("issues")).unionByName(of_items.withColumn("i", F.explode("issues"))).select(
+        "batch_id",
+        "doc_seq",
+        F.lit(scanned_at).alias("scanned_at"),
+        "doc_id",
+        "doc_number",
+        F.coalesce(F.col("i.row_number").cast("string"), F.lit("")).alias("row_number"),
+        F.coalesce("i.field", F.lit("")).alias("field"),
+        "i.code",
+        "i.severity",
+        "i.message",
+        "pdf_path",
     )
 
 
+def review_rates(documents: DataFrame) -> DataFrame:
+    """Rows and flagged rows by month, of checked documents that have a date and rows."""
+    months = documents.where("doc_date is not null and n_items > 0").groupBy(F.substring("doc_date", 1, 7).alias("month"))
+    return months.agg(F.sum("n_items").alias("n_rows"), F.sum(flagged_rows()).alias("n_flagged"))
+
+
 def run_summary(segmented: DataFrame, documents: DataFrame, items: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """One row: documents, orphan pages, rows, flagged rows, SKU counters."""
+    """One row: documents, orphan pages, rows, flagged rows, SKU counters.
+
+    Rows are counted in the checked documents, so items need not be joined with them.
+    """
     pages = segmented.agg(F.count_if(F.col("doc_seq") == 0).alias("orphan_pages"))
-    docs = documents.agg(F.count(F.lit(1)).alias("documents"))
+    docs = documents.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.coalesce(F.sum("n_items"), F.lit(0)).alias("rows_appended"),
+        F.coalesce(F.sum(flagged_rows()), F.lit(0)).alias("flagged_rows"),
+    )
     rows = items.agg(
-        F.count(F.lit(1)).alias("rows_appended"),
-        F.count_if("needs_review").alias("flagged_rows"),
         F.count_distinct(F.when(F.col("trusted"), F.col("item_barcode"))).alias("sku_resolved"),
         F.count_if(F.col("sku_source") == "ocr").alias("sku_from_ocr"),
     )
@@ -56,7 +65,8 @@ def run_summary(segmented: DataFrame, documents: DataFrame, items: DataFrame, ca
     one = docs
     for other in (pages, rows, entries):
         one = one.unionByName(other, allowMissingColumns=True)
-    return one.agg(*(F.max(c).alias(c) for c in one.columns))
+    order = ["documents", "orphan_pages", "rows_appended", "flagged_rows", "sku_resolved", "sku_from_ocr", "catalogue_entries"]
+    return one.agg(*(F.max(c).alias(c) for c in order))
 
 
 def pdf_manifest(segmented: DataFrame, documents: DataFrame, scan_date: str) -> DataFrame:

@@ -46,14 +46,24 @@ def documents(segmented: DataFrame) -> DataFrame:
     )
 
 
+def numbered(segmented: DataFrame) -> DataFrame:
+    """Adds ``rows_before``: the rows on earlier pages of the document."""
+    earlier = Window.partitionBy("batch_id", "doc_seq").orderBy("page_index").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.coalesce(F.greatest(F.size("rows"), F.lit(0)), F.lit(0))
+    return segmented.withColumn("rows_before", F.coalesce(F.sum(size).over(earlier), F.lit(0)).cast("int"))
+
+
 def items(segmented: DataFrame) -> DataFrame:
-    """Line items with row numbers 1..n across the pages of a document."""
-    rows = segmented.where("doc_seq > 0").select("batch_id", "doc_seq", "page_index", F.posexplode("rows").alias("band", "row"))
-    order = Window.partitionBy("batch_id", "doc_seq").orderBy("page_index", "band")
+    """Line items with row numbers 1..n across the pages of a document.
+
+    Pages are numbered before their rows are taken apart, so rows need not move.
+    """
+    pages = (segmented if "rows_before" in segmented.columns else numbered(segmented)).where("doc_seq > 0")
+    rows = pages.select("batch_id", "doc_seq", "page_index", "rows_before", F.posexplode("rows").alias("band", "row"))
     return rows.select(
         "batch_id",
         "doc_seq",
-        F.row_number().over(order).alias("row_number"),
+        (F.col("rows_before") + F.col("band") + 1).alias("row_number"),
         "page_index",
         "row.item_barcode",
         "row.sku",

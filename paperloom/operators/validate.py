@@ -102,11 +102,25 @@ def validate(documents: DataFrame, resolved: DataFrame, history: DataFrame, flag
     A row needs review for any issue of its own or any error of its document;
     warnings of the document do not flag its rows.
     """
-    items = item_issues(resolved, flag_unconfirmed)
-    checked = document_issues(with_history(with_sums(documents, items), history))
+    checked = check_documents(documents, resolved, history, flag_unconfirmed)
+    return checked, flag_items(checked, resolved, flag_unconfirmed)
+
+
+def check_documents(documents: DataFrame, resolved: DataFrame, history: DataFrame, flag_unconfirmed: bool = True) -> DataFrame:
+    """Documents with the sums of their items, ``issues`` and ``has_error``."""
+    return document_issues(with_history(with_sums(documents, item_issues(resolved, flag_unconfirmed)), history))
+
+
+def flag_items(checked: DataFrame, resolved: DataFrame, flag_unconfirmed: bool = True) -> DataFrame:
+    """Items with their ``issues`` and ``needs_review``; issues are composed after the items have moved."""
     verdicts = checked.select("batch_id", "doc_seq", "has_error")
-    flagged = items.join(verdicts, ["batch_id", "doc_seq"]).withColumn("needs_review", (F.size("issues") > 0) | F.col("has_error"))
-    return checked, flagged.drop("has_error")
+    items = item_issues(resolved.join(verdicts, ["batch_id", "doc_seq"]), flag_unconfirmed)
+    return items.withColumn("needs_review", (F.size("issues") > 0) | F.col("has_error")).drop("has_error")
+
+
+def flagged_rows() -> Column:
+    """How many rows of a checked document need review."""
+    return F.when(F.col("has_error"), F.col("n_items")).otherwise(F.col("n_items_with_issues"))
 
 
 def index_entries(documents: DataFrame, scanned_at: str) -> DataFrame:

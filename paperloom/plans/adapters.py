@@ -7,6 +7,8 @@ below exercises a rule; see ``oracle.ADAPTER`` for the same in plain SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,34 +82,49 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item, numbered within its order by all its columns."""
-    order = Window.partitionBy("l_orderkey").orderBy(*_ROW_ORDER)
+    """One row per line item, numbered within its order.
+
+    Line items that are alike in the columns of this order are alike in all that is
+    taken from them, so no other column is moved; parts come first, so that pages
+    keep the partitions that rows are numbered in.
+    """
+    columns = ["l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("quantity")]
+    order = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "quantity")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), part_sku().alias("part_sku"))
-    items = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(order)).join(parts, "l_partkey", "left")
-    supplier = F.col("l_suppkey")
-    read = F.concat(F.col("part_sku"), F.lit("-"), (F.col("l_linenumber") % 3).cast("string"), F.lit("sm"))
-    return items.select(
-        F.col("l_orderkey").alias("o_orderkey"),
-        "rn",
-        F.floor((F.col("rn") - 1) / ROWS_PER_PAGE).cast("int").alias("page_no"),
-        _padded("l_partkey", 13).alias("item_barcode"),
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), *columns).join(parts, "l_partkey", "left")
+    return items.withColumn("rn", F.row_number().over(order))
+
+
+def _cell(row: Column, band: Column) -> Column:
+    """The cells of a row as they are read: SKUs are missing, without dashes or with a size, quantities sometimes unread."""
+    supplier = row["l_suppkey"]
+    size = F.concat(F.lit("-"), (row["l_linenumber"] % 3).cast("string"), F.lit("sm"))
+    sku = (
         F.when(supplier % 5 == 0, F.lit(None).cast("string"))
-        .when(supplier % 7 == 0, F.replace("part_sku", F.lit("-"), F.lit("")))
-        .otherwise(read)
-        .alias("sku"),
-        F.when((F.col("l_partkey") + supplier) % 41 != 0, F.col("l_quantity").cast("bigint")).alias("quantity"),
-        F.col("l_quantity").cast("bigint").alias("true_quantity"),
-        supplier.alias("price"),
+        .when(supplier % 7 == 0, F.replace(row["part_sku"], F.lit("-"), F.lit("")))
+        .otherwise(F.concat(row["part_sku"], size))
+    )
+    quantity = F.when((row["l_partkey"] + supplier) % 41 != 0, row["quantity"])
+    return F.struct(
+        band.alias("band_index"),
+        F.lpad(row["l_partkey"].cast("string"), 13, "0").alias("item_barcode"),
+        sku.alias("sku"),
+        quantity.alias("quantity"),
+        quantity.cast("string").alias("quantity_raw"),
     )
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page stream: three rows a page, a batch per customer."""
+def pages(spark: SparkSession, sf_dir: str, step: Callable[[DataFrame], DataFrame] = lambda table: table) -> DataFrame:
+    """The page stream: three rows a page, a batch per customer.
+
+    ``step`` may write the pages of orders before they move to their batches.
+    """
     orders = table(spark, sf_dir, "orders")
-    of_pages = rows(spark, sf_dir).groupBy("o_orderkey", "page_no").agg(
-        F.sort_array(F.collect_list(F.struct("rn", "item_barcode", "sku", "quantity"))).alias("cells"),
-        F.sum("true_quantity").alias("page_quantity"),
-        F.sum("price").alias("page_sum"),
+    page_no = F.floor((F.col("rn") - 1) / ROWS_PER_PAGE).cast("int").alias("page_no")
+    of_pages = rows(spark, sf_dir).groupBy("o_orderkey", page_no).agg(
+        F.sort_array(F.collect_list(F.struct("rn", "l_linenumber", "l_partkey", "l_suppkey", "quantity", "part_sku"))).alias("cells"),
+        F.sum("quantity").alias("page_quantity"),
+        F.sum("l_suppkey").alias("page_sum"),
     )
     inside = Window.partitionBy("o_orderkey")
     key = F.col("o_orderkey")
@@ -120,20 +137,21 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(last & (key % 19 != 0), printed).cast("bigint").alias("quantity"),
         F.when(last & (key % 29 != 0), F.sum("page_sum").over(inside)).cast("bigint").alias("sum"),
     )
-    cells = F.transform(
-        F.coalesce("cells", F.array().cast("array<struct<rn:int,item_barcode:string,sku:string,quantity:bigint>>")),
-        lambda c, k: F.struct(k.alias("band_index"), c["item_barcode"].alias("item_barcode"), c["sku"].alias("sku"), c["quantity"].alias("quantity"), c["quantity"].cast("string").alias("quantity_raw")),
-    )
     of_batch = Window.partitionBy("batch_id").orderBy("o_orderkey", "page_no")
-    return every.select(
+    # texts are composed after the pages have moved
+    bare = F.transform("cells", lambda c: c.dropFields("rn"))
+    of_orders = step(every.select("batch_id", "o_orderkey", "page_no", "o_orderdate", total.alias("totals"), bare.alias("cells")))
+    placed = of_orders.withColumn("page_index", F.row_number().over(of_batch) - 1)
+    cells = F.coalesce(F.transform("cells", _cell), F.array().cast("array<struct<band_index:int,item_barcode:string,sku:string,quantity:bigint,quantity_raw:string>>"))
+    return placed.select(
         "batch_id",
-        (F.row_number().over(of_batch) - 1).alias("page_index"),
+        "page_index",
         ((F.col("page_no") == 0) & (key % 11 != 0)).alias("is_header_page"),
         F.when(key % 23 != 0, F.concat(F.lit("15-"), _padded("o_orderkey", 10))).alias("doc_id"),
         F.when(key % 29 != 0, key.cast("string")).alias("doc_number"),
         F.when(key % 31 != 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")).alias("doc_date"),
         (key % 37 == 0).alias("doc_id_mismatch"),
-        total.alias("totals"),
+        "totals",
         cells.alias("rows"),
     )
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,17 +24,18 @@ from . import adapters
 class Run:
     """One run over the adapter's tables.
 
-    Steps are lazy plans, but what validation reads several times, the segmented
-    pages and the resolved items, is written once, as a run does.
+    Steps are lazy plans, but what is read several times, the segmented pages, the
+    resolved items and the checked documents, is written once, as a run does.
     """
 
     spark: SparkSession
     sf_dir: str
     whole_dictionary: bool = False
+    _paths: dict[str, str] = field(default_factory=dict)
 
     @cached_property
     def segmented(self) -> DataFrame:
-        return segment.segment_pages(adapters.pages(self.spark, self.sf_dir))
+        return segment.numbered(segment.segment_pages(adapters.pages(self.spark, self.sf_dir)))
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -61,11 +62,25 @@ class Run:
     def resolved(self) -> DataFrame:
         return resolve.resolve(self.items, self.catalogue, self.dictionary)
 
+    def _stored(self, table: DataFrame, label: str) -> DataFrame:
+        self._paths[label] = sinks.scratch(self.spark, label)
+        return sinks.stored(table, self._paths[label])
+
+    @cached_property
+    def checked(self) -> DataFrame:
+        """Checked documents; segmented pages and resolved items, as far as checks and outputs read them, are written before."""
+        pages = adapters.pages(self.spark, self.sf_dir, lambda table: self._stored(table, "pages"))
+        self.segmented = self._stored(segment.numbered(segment.segment_pages(pages)), "segmented")
+        sinks.remove(self.spark, self._paths["pages"])
+        self.resolved = self._stored(self.resolved.drop("page_index", "ocr_sku", "quantity_raw"), "resolved")
+        return self._stored(validate.check_documents(self.documents, self.resolved, self.history), "checked")
+
     @cached_property
     def validated(self) -> tuple[DataFrame, DataFrame]:
-        self.segmented = sinks.stored(self.segmented, "segmented")
-        self.resolved = sinks.stored(self.resolved, "resolved")
-        return validate.validate(self.documents, self.resolved, self.history)
+        """Checked documents and flagged items; the segmented pages are gone by then."""
+        documents = self.checked
+        sinks.remove(self.spark, self._paths["segmented"])
+        return documents, validate.flag_items(documents, self.resolved)
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,20 +340,17 @@ def _unreadable_cells(spark, sf_dir):
 
 
 def _review_rate_by_month(spark, sf_dir):
-    documents, items = Run(spark, sf_dir).validated
-    months = documents.where("doc_date is not null").select("batch_id", "doc_seq", F.substring("doc_date", 1, 7).alias("month"))
-    rows = items.select("batch_id", "doc_seq", "needs_review").join(months, ["batch_id", "doc_seq"])
-    return rows.groupBy("month").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("needs_review").alias("n_flagged"))
+    return outputs.review_rates(Run(spark, sf_dir).checked)
 
 
 def _issue_histogram(spark, sf_dir):
-    documents, items = Run(spark, sf_dir).validated
-    issues = documents.select(F.explode("issues").alias("i")).unionByName(items.select(F.explode("issues").alias("i")))
+    run = Run(spark, sf_dir)
+    issues = run.checked.select(F.explode("issues").alias("i")).unionByName(validate.item_issues(run.resolved).select(F.explode("issues").alias("i")))
     return issues.groupBy("i.code", "i.severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _index_entries(spark, sf_dir):
-    return validate.index_entries(Run(spark, sf_dir).validated[0], adapters.SCANNED_AT)
+    return validate.index_entries(Run(spark, sf_dir).checked, adapters.SCANNED_AT)
 
 
 def _recent_index(spark, sf_dir):
@@ -348,7 +360,8 @@ def _recent_index(spark, sf_dir):
 
 def _run_summary(spark, sf_dir):
     run = Run(spark, sf_dir, whole_dictionary=True)
-    return outputs.run_summary(run.segmented, *run.validated, run.catalogue)
+    documents = run.checked
+    return outputs.run_summary(run.segmented, documents, run.resolved, run.catalogue)
 
 
 def _pdf_manifest(spark, sf_dir):

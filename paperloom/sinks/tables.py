@@ -102,18 +102,29 @@ def head(spark: SparkSession, path: str, n: int = 8) -> tuple[list, int]:
     return table.limit(n).collect(), table.count()
 
 
-def stored(table: DataFrame, label: str) -> DataFrame:
-    """Writes a step of a query to the folder that executors share and reads it, so that it is computed once.
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that executors share, removed when the driver ends.
 
     The folder is the one that ``spark.checkpoint.dir`` names; a local one is taken
-    only where that is unset and the master is local.  It goes when the driver ends.
+    only where that is unset and the master is local.
     """
-    spark = table.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{(named or 'file:///tmp/checkpoints').rstrip('/')}/{label}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    table.write.parquet(path)
+    return path
+
+
+def stored(table: DataFrame, path: str) -> DataFrame:
+    """Writes a step of a query and reads it, so that it is computed once; its shuffle files go when it is written."""
+    spark = table.sparkSession
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        table.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(table.schema).parquet(path)

@@ -44,8 +44,6 @@ RULES = (
 MIN_SUPPORT = 0.0005
 MIN_HELD = 20
 MIN_CONFIDENCE = 0.8
-#: Of a labelled url with more common tokens than these, only those blocked most often teach; all are matched.
-TOKENS_BOUND = 12
 
 _BLOCKED = "="
 
@@ -85,44 +83,51 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def matches(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rows`` with ``rule_id`` and ``rule_tokens``: each row once for every rule whose tokens are all among its ``tokens``."""
-    posts = rules.select("rule_id", F.col("tokens").alias("rule_tokens"), "post")
+    """``rows`` with ``rule_id``: each row for every rule of which its ``tokens`` hold one of each choice, perhaps repeatedly."""
+    under = F.filter("choices", lambda some: F.array_contains(some, F.col("post")))[0]
+    posts = rules.select("rule_id", "choices", F.explode(under).alias("post"))
     met = rows.withColumn("post", F.explode("tokens")).join(posts, "post")
-    return met.where(F.size(F.array_except("rule_tokens", "tokens")) == 0).drop("post")
+    return met.where(F.forall("choices", lambda some: F.arrays_overlap(some, F.col("tokens")))).drop("post", "choices")
 
 
 def mine(labelled: DataFrame, shelf: Shelf, min_support: float = MIN_SUPPORT, min_held: int = MIN_HELD, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """``rule_id, tokens, post``: combinations of tokens from ``labelled(tokens, blocked)`` that say "block".
+    """``rule_id, tokens, post, choices``: combinations of tokens from ``labelled(tokens, blocked)`` that say "block".
 
-    What is gathered grows with the support alone: at most the tokens of a url,
-    divided by it, are common enough to be in a rule.
+    All common tokens of a url teach.  What could only repeat a smaller rule is left
+    to no combination: a token that is a rule by itself, one that all urls hold, and
+    all but one of the tokens that the same urls hold; ``choices`` are these, for
+    each of the rule's ``tokens``.  What is gathered grows with the support alone:
+    at most the tokens of a url, divided by it, are common enough to be in a rule.
     """
     spark = labelled.sparkSession
     rows = shelf.put(labelled.where(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("row"), "tokens", "blocked"), "url-labelled")
     n = rows.count()
     held = max(min_held, min_support * n)
-    none = spark.createDataFrame([], "rule_id long, tokens array<string>, post string")
+    none = spark.createDataFrame([], "rule_id long, tokens array<string>, post string, choices array<array<string>>")
     if n < held:
         return none
     each = rows.select("row", "blocked", F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("int")).alias("bad"))
-    common = shelf.put(counts.where(F.col("n") >= held), "url-tokens")
-
-    share = (-F.col("bad") / F.col("n")).alias("less")
-    of_url = each.join(common, "token").groupBy("row", "blocked").agg(F.sort_array(F.collect_list(F.struct(share, "token"))).alias("found"))
-    taught = F.transform(F.slice("found", 1, TOKENS_BOUND), lambda x: x["token"])
-    items = shelf.put(of_url.select(F.when(F.col("blocked"), F.array_append(taught, F.lit(_BLOCKED))).otherwise(taught).alias("items")), "url-items")
+    # which urls hold a token, as 128 bits
+    holders = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    counts = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("int")).alias("bad"), *holders)
+    alike = counts.where(F.col("n") >= held).groupBy("n", "bad", "h1", "h2").agg(F.sort_array(F.collect_list("token")).alias("choice"))
+    alone = (F.col("bad") / F.col("n") >= min_confidence).alias("alone")
+    common = shelf.put(alike.select(F.col("choice")[0].alias("token"), "n", "choice", alone), "url-tokens")
+
+    mixed = common.where(~F.col("alone") & (F.col("n") < n)).select("token")
+    of_url = each.join(mixed, "token").groupBy("row", "blocked").agg(F.collect_list("token").alias("taught"))
+    items = shelf.put(of_url.select(F.when(F.col("blocked"), F.array_append("taught", F.lit(_BLOCKED))).otherwise(F.col("taught")).alias("items")), "url-items")
     n_items = items.count()
-    if not n_items:
-        return none
-    # a rule is held so often and blocked in min_confidence of it; half an url keeps rounding up from losing one
-    support = max(0.0, held * min_confidence - 0.5) / n_items
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=min_confidence).fit(items).associationRules
-    said = found.where(F.col("consequent")[0] == _BLOCKED).withColumn("n", F.round(F.col("support") * n_items / F.col("confidence")))
-    strong = said.where(F.col("n") >= held).select(F.sort_array("antecedent").alias("tokens"))
+    strong = common.where("alone").select(F.array("token").alias("tokens"))
+    if n_items:
+        # a rule is held so often and blocked in min_confidence of it; half an url keeps rounding up from losing one
+        support = max(0.0, held * min_confidence - 0.5) / n_items
+        found = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=min_confidence).fit(items).associationRules
+        said = found.where(F.col("consequent")[0] == _BLOCKED).withColumn("n", F.round(F.col("support") * n_items / F.col("confidence")))
+        strong = strong.unionByName(said.where(F.col("n") >= held).select(F.sort_array("antecedent").alias("tokens")))
     rarest = F.min(F.struct("n", "token"))["token"].alias("post")
-    posts = strong.select("tokens", F.explode("tokens").alias("token")).join(common, "token").groupBy("tokens").agg(rarest)
-    posted = shelf.put(posts.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "post"), "url-strong")
+    posts = strong.select("tokens", F.explode("tokens").alias("token")).join(common, "token").groupBy("tokens").agg(rarest, F.collect_list("choice").alias("choices"))
+    posted = shelf.put(posts.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "post", "choices"), "url-strong")
     wider = matches(posted.select(F.col("rule_id").alias("id"), "tokens"), posted).where(F.col("id") != F.col("rule_id")).select(F.col("id").alias("rule_id"))
     rules = shelf.put(posted.join(wider.distinct(), "rule_id", "left_anti"), "url-rules")
     shelf.drop(rows, items, common, posted)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingle_kernel as K
-from .common import read_table
+from .common import read_table, release
 from .labelled import filtered, held_out, scored, training_rows
 
 TRAINING_ROWS = 12_000
@@ -212,17 +212,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = T
     if not len(y) or y.min() == y.max():
         return None
     units = [np.frombuffer(u, "<i4") for u in rows["units"]]
-    size = 1 << BUCKET_BITS
-    with_, without = (
-        np.bincount(np.concatenate([u for u, v in zip(units, y, strict=True) if v == side] or [np.zeros(0, np.int32)]), minlength=size)
-        for side in (1, 0)
-    )
-    share, seen = y.mean(), with_ + without
+    # the driver holds two small counters a bucket; all else is of the buckets that toxic rows have
+    counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
+    for own, side in zip(units, y, strict=True):
+        counts[side, own] += 1  # a row has each of its units once
+    known = np.flatnonzero(counts[1])
+    with_, seen = counts[1, known].astype(np.int64), counts[:, known].sum(0, dtype=np.int64)
+    del counts
+    share = y.mean()
     rate = np.clip(with_ / np.maximum(seen, 1), 1e-9, 1 - 1e-9)
     evidence = seen * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
     chosen = np.flatnonzero((rate >= LEAST_PRECISION) & (evidence >= LEAST_EVIDENCE))
-    lexicon = chosen[np.argsort(-evidence[chosen], kind="stable")]
-    place = np.full(size, -1)
+    lexicon = known[chosen[np.argsort(-evidence[chosen], kind="stable")]]
+    place = np.full(1 << BUCKET_BITS, -1, np.int32)
     place[lexicon] = np.arange(len(lexicon))
     present = np.zeros((len(y), len(lexicon)), np.float32)
     hits = np.zeros(len(y))
@@ -248,6 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = T
     low = cuts[best[0]]
     below = margin[margin < low]
     w[-1] -= (low + below.max()) / 2 if len(below) else low
+    del rows, units, place, present, votes, x
+    release()
     return Model(lexicon.astype(np.int64), w)
 
 

@@ -11,7 +11,7 @@ aside are joined end to end and cut at window bounds, and the last partial
 window is cut into powers of two, which need no padding.
 
 One pass over the documents without a shuffle: a task tokenises and packs one
-block of at most ``BLOCK_TOKENS`` (and one document) at a time, so memory does
+block of at most ``BLOCK_TOKENS`` (and one slice of documents) at a time, so memory does
 not grow with partitions; numbering needs only one total per partition.
 
 Edge cases: a null or empty text is the end id alone; null and repeated ids of
@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import token_kernel
-from .common import id_text, read_table, scratch
+from .common import id_text, read_table, scratch, tidy, writing
 
 WINDOW = 2048
 END_ID = 1
 #: Ids that are packed together; more would hardly leave fewer cuts.
 BLOCK_TOKENS = 8_000_000
+#: Pieces that are handed on at once.
+PIECES_AT_ONCE = 500
 
 PIECES = T.StructType(
     [
@@ -136,49 +138,66 @@ def cut(pieces: list[tuple[int, int, int]], window: int) -> list[list[tuple[int,
     return sequences
 
 
-def _pack_partition(path: str, end_id: int, window: int, block_tokens: int):
-    def flush(held: list[tuple], sequence: int) -> tuple[list[tuple], int]:
-        """Rows of a block; held: (doc_id, part, packed ids)."""
-        rows, rests = [], []
-        for doc_id, part, packed in held:
-            n = len(packed) // 4
-            for start in range(0, n - window + 1, window):
-                rows.append((doc_id, part, start, window, n, sequence, 0, packed[4 * start : 4 * (start + window)]))
-                sequence += 1
-            if n % window:
-                rests.append((doc_id, part, packed, n - n % window, n))
-        for filled in pack([n - base for _, _, _, base, n in rests], window):
+class _Block:
+    """Documents that are packed together: their ids as they were encoded, some documents after the other."""
+
+    def __init__(self):
+        self.heads, self.ids, self.n, self.tokens = [], [], [], 0
+
+    def add(self, batch: pa.RecordBatch, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.heads.append(batch.select([0, 1]))
+        self.ids.append(ids)
+        self.n.append(np.diff(ends))
+        self.tokens += len(ids)
+
+    def pieces(self, window: int, sequence: int) -> tuple[np.ndarray, ...]:
+        """place of the document, start, length, sequence, offset of each piece."""
+        n = np.concatenate(self.n)
+        full = n // window
+        place = np.repeat(np.arange(len(n)), full)
+        start = (np.arange(len(place)) - np.repeat(np.cumsum(full) - full, full)) * window
+        numbers = np.arange(sequence, sequence + len(place))
+        rests, rows = np.flatnonzero(n % window), []
+        for number, filled in enumerate(pack((n % window)[rests].tolist(), window), sequence + len(place)):
             offset = 0
-            for place, start, length in filled:
-                doc_id, part, packed, base, n = rests[place]
-                low = base + start
-                rows.append((doc_id, part, low, length, n, sequence, offset, packed[4 * low : 4 * (low + length)]))
+            for at, low, length in filled:
+                rows.append((at, low, length, number, offset))
                 offset += length
-            sequence += 1
-        return rows, sequence
+        at, low, *others = np.array(rows, np.int64).reshape(-1, 5).T
+        whole = (place, start, np.full_like(place, window), numbers, np.zeros_like(place))
+        cut_up = (rests[at], (full * window)[rests[at]] + low, *others)
+        return tuple(map(np.concatenate, zip(whole, cut_up, strict=True)))
+
+    def packed(self, window: int, sequence: int) -> Iterator[pa.RecordBatch]:
+        """The pieces in the order of their sequences, which are numbered from ``sequence`` on."""
+        if not self.n:
+            return
+        n, heads = np.concatenate(self.n), pa.Table.from_batches(self.heads)
+        held_by = np.repeat(np.arange(len(self.n)), [len(x) for x in self.n])
+        begin = np.concatenate([np.cumsum(x) - x for x in self.n])
+        every = self.pieces(window, sequence)
+        for low in range(0, len(every[0]), PIECES_AT_ONCE):
+            place, start, length, numbers, offset = (x[low : low + PIECES_AT_ONCE] for x in every)
+            first = begin[place] + start
+            spans = zip(held_by[place].tolist(), first.tolist(), (first + length).tolist(), strict=True)
+            ids = pa.array([self.ids[k][a:b].tobytes() for k, a, b in spans], pa.binary())
+            head = heads.take(pa.array(place)).combine_chunks()
+            columns = [head.column(0).chunk(0), head.column(1).chunk(0), *map(pa.array, (start, length, n[place], numbers, offset)), ids]
+            yield pa.RecordBatch.from_arrays(columns, names=PIECES.names)
 
-    def table(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()]
-        for low in range(0, len(rows), 2000):
-            columns = zip(*rows[low : low + 2000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=PIECES.names)
 
+def _pack_partition(path: str, end_id: int, window: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = token_kernel.encoder(path).encode_many, np.array([end_id], "<u4").tobytes()
-        held, tokens, sequence = [], 0, 0
+        encode, block, sequence = token_kernel.encoder(path).encode_ended, _Block(), 0
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
-                packed = encode(batch.column(2).cast(pa.binary()).to_pylist())
-                for doc_id, part, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), packed, strict=True):
-                    held.append((doc_id, part, ids + end))
-                    tokens += len(ids) // 4 + 1
-                    if tokens >= block_tokens:
-                        rows, sequence = flush(held, sequence)
-                        yield from table(rows)
-                        held, tokens = [], 0
-        rows, sequence = flush(held, sequence)
-        yield from table(rows)
+            for batch, texts in token_kernel.slices(whole, 2):
+                block.add(batch, *encode(texts, end_id))
+                if block.tokens >= block_tokens:
+                    for rows in block.packed(window, sequence):
+                        yield rows
+                        sequence = rows.column(5)[-1].as_py() + 1
+                    block = _Block()
+        yield from block.packed(window, sequence)
 
     return run
 
@@ -195,7 +214,8 @@ def pack_documents(
     numbered = id_text(docs).select("doc_id", F.spark_partition_id().alias("part"), "text")
     run = _pack_partition(tokenizer or token_kernel.default_path(), end_id, window, block_tokens)
     path = scratch(spark, "packed")
-    numbered.mapInArrow(run, PIECES).write.option("compression", "zstd").parquet(path)
+    with writing(spark):
+        numbered.mapInArrow(tidy(run), PIECES).write.option("compression", "zstd").parquet(path)
     pieces = spark.read.schema(PIECES).parquet(path)
     # one row per partition: its sequences come after those of all before it
     totals = pieces.groupBy("part").agg((F.max("part_sequence") + 1).alias("n"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import token_kernel
-from .common import id_text, read_table, scratch
+from .common import id_text, read_table, scratch, tidy, writing
 
 END_ID = 2
 STRIPE_BYTES = 16 << 20
@@ -44,20 +44,16 @@ FILE_SCHEMA = T.StructType(
 
 def _encode_partition(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, at = token_kernel.encoder(path).encode_many, np.array([end_id], "<u4").tobytes(), 0
+        encode, at = token_kernel.encoder(path).encode_ended, 0
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
-                texts = batch.column(2).cast(pa.binary()).to_pylist()
-                packed = [ids + end for ids in encode(texts)]
-                n = np.fromiter((len(p) // 4 for p in packed), "i8", len(packed))
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            for batch, texts in token_kernel.slices(whole, 2):
+                flat, ends = encode(texts, end_id)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view("<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(at + offsets[:-1]), pa.array(n), ids],
+                    [batch.column(0), batch.column(1), pa.array(at + ends[:-1]), pa.array(np.diff(ends)), ids],
                     names=FILE_SCHEMA.names,
                 )
-                at += int(offsets[-1])
+                at += int(ends[-1])
 
     return run
 
@@ -67,16 +63,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     ranged = id_text(docs).repartitionByRange(F.col("doc_id").asc_nulls_first())
     ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     numbered = ordered.select("doc_id", F.spark_partition_id().alias("part"), "text")
-    encoded = numbered.mapInArrow(_encode_partition(tokenizer or token_kernel.default_path(), end_id), FILE_SCHEMA)
-    (
-        encoded.write.mode("overwrite")
-        .option("orc.compress", "ZSTD")
-        .option("orc.stripe.size", STRIPE_BYTES)
-        .option("orc.row.index.stride", ROW_INDEX_STRIDE)
-        .option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.bloom.filter.fpp", "0.01")
-        .orc(path)
-    )
+    encoded = numbered.mapInArrow(tidy(_encode_partition(tokenizer or token_kernel.default_path(), end_id)), FILE_SCHEMA)
+    with writing(docs.sparkSession):
+        (
+            encoded.write.mode("overwrite")
+            .option("orc.compress", "ZSTD")
+            .option("orc.stripe.size", STRIPE_BYTES)
+            .option("orc.row.index.stride", ROW_INDEX_STRIDE)
+            .option("orc.bloom.filter.columns", "doc_id")
+            .option("orc.bloom.filter.fpp", "0.01")
+            .orc(path)
+        )
     return path
 
 

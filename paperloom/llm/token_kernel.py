@@ -4,7 +4,8 @@ A file whose steps are exactly ``WORD_STEPS`` drops white space and case and nev
 joins characters across white space, so the ids of a text are the ids of its
 ASCII-white-space-separated chunks one after the other; any other file is encoded
 text by text.  Each distinct chunk is encoded once by the ``tokenizers`` library
-and remembered as little-endian uint32 bytes; a text is then one ``bytes.join``.
+and remembered as little-endian uint32 bytes; the chunks of some texts are coded
+in bulk, so only distinct ones are looked up, and their ids gathered in one step.
 Other Unicode white space stays inside a chunk and is left to the library.  A
 chunk that is a word followed by plain punctuation shares the ids of the word and
 of the punctuation where the library itself parts them after the word's last
@@ -21,12 +22,19 @@ from __future__ import annotations
 import json
 import os
 from array import array
+from collections.abc import Iterator
 from unicodedata import is_normalized
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Most entries in one generation of a memo (about 200 bytes each).
 MEMO_BOUND = 400_000
 #: Chunks longer than this are not remembered, to bound the memo's bytes.
 LONGEST_REMEMBERED = 100
+#: Most rows and bytes of texts that are encoded at once.
+SLICE_ROWS, SLICE_BYTES = 1024, 2 << 20
 #: Punctuation that the pre-tokenizer splits from a letter or digit before it.
 TAIL = b".,;:!?*#$%&"
 #: The steps of a file for which chunks may be encoded apart.
@@ -86,13 +94,9 @@ class Memo:
         if len(self.new) + coming > self.bound:
             self.old, self.new = self.new, {}
 
-    def get(self, key: bytes) -> bytes | None:
-        found = self.new.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.new[key] = found
-        return found
+    def add(self, found: dict[bytes, bytes]) -> None:
+        self.turn(len(found))
+        self.new.update(found)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -104,14 +108,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = _byte_letters()
+#: Lower-case Latin letters that no earlier step changes; none of them joins another.
+_PLAIN = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c and is_normalized("NFC", c))
 
 
 def plain_word(part: bytes) -> str | None:
     """The byte letters of a lower-case Latin word that no earlier step changes."""
     if part.isalpha():  # ASCII letters only
         return part.decode("ascii") if part.islower() else None
-    word = part.decode("utf-8")
-    if not word.isalpha() or max(word) >= "\u0250" or word.lower() != word or not is_normalized("NFC", word):
+    if not part or not _PLAIN.issuperset(part.decode("utf-8")):
         return None
     return part.decode("latin-1").translate(_BYTE_LETTERS)
 
@@ -124,7 +129,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._chunks, self._parts = Memo(bound), Memo(bound)
+        self._chunks = Memo(bound)
         self._by_chunk = parts_at_space(path)
         self._letters: dict[str, bool] = {}
         # the shortcut must agree with the library on this file
@@ -147,6 +152,8 @@ class ChunkEncoder:
     def _word_and_tail(self, chunk: bytes) -> tuple[bytes, bytes] | None:
         """(lower-cased word, punctuation) where both encode independently."""
         word = chunk.rstrip(TAIL)
+        if word.isalpha():  # ASCII letters only
+            return word.lower(), chunk[len(word) :]
         if not word or keeps_case(chunk):
             return None
         last = word[-1]
@@ -175,60 +182,83 @@ class ChunkEncoder:
                 out[place] = array("I", encoded.ids).tobytes()
         return out
 
-    def _parts_of(self, wanted: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words, punctuation and whole chunks, encoded where unknown."""
-        get, out, unknown = self._parts.get, {}, []
-        for part in wanted:
-            ids = get(part)
-            if ids is None:
-                unknown.append(part)
-            else:
-                out[part] = ids
-        self._parts.turn(len(unknown))
-        remembered = self._parts.new
-        for at in range(0, len(unknown), 4096):
-            some = unknown[at : at + 4096]
-            for part, ids in zip(some, self._encode_each(some), strict=True):
-                out[part] = ids
-                if len(part) <= LONGEST_REMEMBERED:
-                    remembered[part] = ids
-        return out
-
-    def _learn(self, unknown: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that the new generation lacks; remembers them."""
-        old = self._chunks.old
+    def _learn(self, unknown: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that the memo lacks, and of the words and punctuation they split into; remembers them."""
+        get, old = self._chunks.new.get, self._chunks.old
         out = {c: old[c] for c in unknown if c in old}
         splits = {c: self._word_and_tail(c) or (c, b"") for c in unknown if c not in out}
-        wanted = {part for split in splits.values() for part in split}
-        wanted.discard(b"")
-        parts = self._parts_of(wanted)
+        parts = {part: get(part) or old.get(part) for split in splits.values() for part in split}
         parts[b""] = b""
-        for chunk, (word, tail) in splits.items():
-            out[chunk] = parts[word] + parts[tail]
-        self._chunks.turn(len(out))
-        self._chunks.new.update((c, ids) for c, ids in out.items() if len(c) <= LONGEST_REMEMBERED)
+        lacking = [part for part, ids in parts.items() if ids is None]
+        for at in range(0, len(lacking), 4096):
+            some = lacking[at : at + 4096]
+            parts.update(zip(some, self._encode_each(some), strict=True))
+        out.update((chunk, parts[word] + parts[tail] if tail else parts[word]) for chunk, (word, tail) in splits.items())
+        for found in (out, {part: parts[part] for part in lacking if part not in out}):
+            self._chunks.add({c: ids for c, ids in found.items() if len(c) <= LONGEST_REMEMBERED})
         return out
 
-    def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
-        """The packed ids of each whole text; null and empty give no ids."""
+    def _ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        """The packed ids of distinct chunks."""
+        found = list(map(self._chunks.new.get, chunks))
+        unknown = [c for c, ids in zip(chunks, found, strict=True) if ids is None]
+        if unknown:
+            learnt = self._learn(unknown)
+            found = [learnt[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+        return found
+
+    def encode_flat(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and end in it; null and empty give none.
+
+        Only the distinct chunks of the texts are looked up; their ids are gathered in bulk.
+        """
         if not self._by_chunk:  # white space or case matter to this file
-            return self._encode_each([t or b"" for t in texts])
-        get = self._chunks.new.get
-        chunked = [(t if keeps_case(t) else t.lower()).split() if t else [] for t in texts]
-        found = [list(map(get, chunks)) for chunks in chunked]
-        lacking = [place for place, ids in enumerate(found) if None in ids]
-        if lacking:
-            pairs = ((c, i) for place in lacking for c, i in zip(chunked[place], found[place], strict=True))
-            learnt = self._learn({c for c, i in pairs if i is None})
-            for place in lacking:
-                chunks, ids = chunked[place], found[place]
-                found[place] = [learnt[c] if i is None else i for c, i in zip(chunks, ids, strict=True)]
-        return [b"".join(ids) for ids in found]
+            packed = self._encode_each([t or b"" for t in texts])
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+            return np.frombuffer(b"".join(packed), "<u4"), ends
+        folded = pa.array([(t if keeps_case(t) else t.lower()) if t else b"" for t in texts], pa.large_binary())
+        chunked = pc.ascii_split_whitespace(folded.view(pa.large_string()))
+        of_text = chunked.offsets.to_numpy()
+        coded = chunked.values.view(pa.large_binary()).dictionary_encode()
+        found = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        n = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        ids = np.frombuffer(b"".join(found), "<u4")
+        code = coded.indices.to_numpy()
+        each = n[code]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        # place of each id of a chunk: where the chunk's ids begin, less where they come to stand
+        shift = (np.cumsum(n) - n)[code] - ends[:-1]
+        return ids[np.repeat(shift, each) + np.arange(ends[-1])], ends[of_text]
+
+    def encode_ended(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same with an end id after each text."""
+        ids, ends = self.encode_flat(texts)
+        ends = ends + np.arange(len(ends))
+        out, own = np.full(ends[-1], end_id, "<u4"), np.ones(ends[-1], bool)
+        own[ends[1:] - 1] = False
+        out[own] = ids
+        return out, ends
+
+    def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
+        """The packed ids of each whole text."""
+        ids, ends = self.encode_flat(texts)
+        raw, at = memoryview(np.ascontiguousarray(ids)).cast("B"), (ends * 4).tolist()
+        return [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
 
     def encode(self, text: bytes | None) -> bytes:
         return self.encode_many([text])[0]
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """A batch in slices of a few rows and bytes (one row at least) with their texts."""
+    texts = batch.column(column).cast(pa.large_binary())
+    size, low = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 0
+    while low < len(size):
+        n = max(1, int(np.searchsorted(np.cumsum(size[low : low + SLICE_ROWS]), SLICE_BYTES, "right")))
+        yield batch.slice(low, n), texts.slice(low, n).to_pylist()
+        low += n
+
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 

@@ -83,3 +83,54 @@ def test_mixed_scripts_with_each_shipped_file():
             assert np.frombuffer(ids, "<u4").tolist() == want, text
     assert K.parts_at_space(public_tokenizers.path("word_bpe_49k.json"))
     assert not K.parts_at_space(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+class Counting(dict):
+    looked = 0
+
+    def get(self, key):
+        self.looked += 1
+        return super().get(key)
+
+
+def test_only_distinct_chunks_are_looked_up():
+    encoder = K.ChunkEncoder(K.default_path())
+    encoder._chunks.new = seen = Counting()
+    once = encoder.encode(b"then the end")
+    assert encoder.encode_many([b"then the end " * 5000] * 3) == [once * 5000] * 3
+    assert seen.looked <= 50
+
+
+def test_words_with_and_without_punctuation_are_remembered_once():
+    encoder = K.ChunkEncoder(K.default_path())
+    encoder.encode(b"then. then, then! end end. the")
+    memos = [m for m in vars(encoder).values() if isinstance(m, K.Memo)]
+    assert sum(b"end" in m.new for m in memos) == 1 == sum(b"then" in m.new for m in memos)
+
+
+def test_slices_are_bounded_and_whole():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (0, 1, K.SLICE_BYTES, 5, 3 * K.SLICE_BYTES)] + [None] + ["y"] * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(K.slices(batch, 1))
+    assert [t for _, some in parts for t in some] == [None if t is None else t.encode() for t in texts]
+    assert [k for rows, _ in parts for k in rows.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(len(some) == 1 or (len(some) <= K.SLICE_ROWS and sum(len(t or b"") for t in some) <= K.SLICE_BYTES) for _, some in parts)
+
+
+def test_a_block_of_packing_holds_its_ids_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from paperloom.llm import packing
+
+    run = packing._pack_partition(K.default_path(), 1, 2048, 2_000_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array([0] * 700), pa.array(["then the end " * 1000] * 700)], names=["doc_id", "part", "text"])
+    list(run(iter([batch.slice(0, 5)])))
+    tracemalloc.start()
+    n = sum(sum(rows.column(3).to_pylist()) for rows in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 700 * 3001 and peak < 40e6

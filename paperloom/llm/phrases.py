@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Shelf, read_table, tidy
+from .common import Shelf, read_table, tidy, writing
 
 MIN_COUNT = 30
 LONGEST = 4
@@ -168,19 +168,44 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             keys = keys[(keys[:, 0] != 0) & (keys[:, 1] != 0)]
             for k in range(2, LONGEST):  # nothing follows a break
                 keys[:, k][keys[:, k - 1] == 0] = 0
+            del codes, pairs, known, row
             yield keys
+            del keys
 
 
-def _sorted_runs(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with their sums: radix passes over 16 bits, last word first."""
-    order = np.arange(len(keys))
-    for k in reversed(range(LONGEST)):
-        for digit in (keys[:, k] & 0xFFFF, keys[:, k] >> 16):
+def _sorted_runs(held: list[tuple[np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with their sums: radix passes over 16 bits, last word first.
+
+    ``held``: keys with their counts (none: one each); it is emptied, and one id
+    of the keys is moved after the other, so that they are not held whole a third time.
+    """
+    words = [np.concatenate([keys[:, k] for keys, _ in held]) for k in range(LONGEST)]
+    n = None if held[0][1] is None else np.concatenate([n for _, n in held])
+    held.clear()
+    order = None
+    for word in reversed(words):
+        for shift in (0, 16):
+            digit = (word if order is None else word[order]) >> np.uint32(shift)
+            digit = digit.astype(np.uint16)
             if digit.any():
-                order = order[np.argsort(digit.astype(np.uint16)[order], kind="stable")]
-    keys, n = keys[order], n[order]
-    begin = np.flatnonzero(_begins(keys, LONGEST))
-    return keys[begin], np.add.reduceat(n, begin) if len(begin) else n
+                at = np.argsort(digit, kind="stable").astype(np.uint32)
+                order = at if order is None else order[at]
+    new = np.zeros(len(words[0]), bool)
+    new[:1] = True
+    for k, word in enumerate(words):
+        words[k] = word = word if order is None else word[order]
+        new[1:] |= word[1:] != word[:-1]
+    begin = np.flatnonzero(new)
+    if n is None:
+        n = np.diff(begin, append=len(new))
+    elif len(begin):
+        n = np.add.reduceat(n if order is None else n[order], begin)
+    del order, new
+    keys = np.empty((len(begin), LONGEST), np.uint32)
+    for k in range(LONGEST):
+        keys[:, k] = words[k][begin]
+        words[k] = None
+    return keys, n
 
 
 def _begins(keys: np.ndarray, width: int) -> np.ndarray:
@@ -194,14 +219,16 @@ def _begins(keys: np.ndarray, width: int) -> np.ndarray:
 def _place(keys: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """For each border the number of sorted keys before it."""
 
-    def halves(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        wide = rows.astype(np.uint64)
-        return wide[:, 0] << np.uint64(32) | wide[:, 1], wide[:, 2] << np.uint64(32) | wide[:, 3]
+    def half(rows: np.ndarray, first: int) -> np.ndarray:
+        wide = rows[:, first].astype(np.uint64)
+        wide <<= np.uint64(32)
+        wide |= rows[:, first + 1]
+        return wide
 
-    (high, low), (border_high, border_low) = halves(keys), halves(borders)
+    high, border_high, border_low = half(keys, 0), half(borders, 0), half(borders, 2)
     at, end = np.searchsorted(high, border_high), np.searchsorted(high, border_high, "right")
     for k in np.flatnonzero(end > at):
-        at[k] += np.searchsorted(low[at[k] : end[k]], border_low[k])
+        at[k] += np.searchsorted(half(keys[at[k] : end[k]], 2), border_low[k])
     return at
 
 
@@ -232,7 +259,9 @@ def _borders(encoded: DataFrame, n_blocks: int, n_ranges: int) -> np.ndarray:
     """Range borders from a bounded sample of keys, distinct ones counting once."""
     near = encoded.where(F.pmod(F.xxhash64("block"), F.lit(max(1, n_blocks // SAMPLE_BLOCKS))) == 0)
     a_block = -(-SAMPLE_KEYS * n_ranges // min(n_blocks, SAMPLE_BLOCKS)) if n_blocks else 1
-    found = [np.frombuffer(r["keys"], np.uint32).reshape(-1, LONGEST) for r in near.mapInArrow(_sample(a_block), "keys binary").collect()]
+    with writing(encoded.sparkSession):  # a row may hold a whole block
+        rows = near.mapInArrow(tidy(_sample(a_block)), "keys binary").collect()
+    found = [np.frombuffer(r["keys"], np.uint32).reshape(-1, LONGEST) for r in rows]
     keys = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, LONGEST), np.uint32)
     return keys[[len(keys) * k // n_ranges for k in range(1, n_ranges)]] if len(keys) else keys
 
@@ -240,8 +269,8 @@ def _borders(encoded: DataFrame, n_blocks: int, n_ranges: int) -> np.ndarray:
 def _deal(borders: np.ndarray):
     """Sorted runs of the keys of a task, cut at the borders of the ranges."""
 
-    def dealt(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, n = _sorted_runs(keys, np.ones(len(keys), np.int64))
+    def dealt(held: list[tuple[np.ndarray, None]]) -> Iterator[pa.RecordBatch]:
+        keys, n = _sorted_runs(held)
         cuts = [0, *_place(keys, borders).tolist(), len(keys)]
         for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if high > low:
@@ -251,13 +280,14 @@ def _deal(borders: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for keys in _windows(batches):
-            held.append(keys)
+            held.append((keys, None))
             size += len(keys)
+            del keys  # what is dealt is held here alone
             if size >= CHUNK_KEYS:
-                yield from dealt(np.concatenate(held))
-                held, size = [], 0
+                yield from dealt(held)
+                size = 0
         if size:
-            yield from dealt(np.concatenate(held))
+            yield from dealt(held)
 
     return run
 
@@ -266,7 +296,7 @@ def _count_runs(min_count: int):
     """Counts of the phrases of each range; those that a border may have cut come whatever their count."""
 
     def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        keys, n = _sorted_runs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        keys, n = _sorted_runs(parts)
         for width in range(2, LONGEST + 1):
             begin = np.flatnonzero(_begins(keys, width))
             a = np.add.reduceat(n, begin)

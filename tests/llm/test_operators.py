@@ -570,3 +570,19 @@ def test_few_labels_that_show_nothing_reject_nothing(make, spark):
     labels = spark.createDataFrame([(k, 1, int(k % 8 == 3)) for k in range(60)], "doc_id long, quality int, toxic int")
     docs = make(rows)
     assert toxicity.drop_toxic(docs, toxicity.fit(docs, labels)).count() == 60
+
+
+def test_shuffles_of_token_files_are_removed_once_written(spark, tmp_path):
+    keys = ["spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k) for k in keys]
+    seen = []
+    real = token_files.tidy
+    token_files.tidy = lambda run: seen.append(run) or real(run)
+    try:
+        docs = spark.createDataFrame([(k, "then the end. " * k) for k in range(50)], "doc_id long, text string")
+        path = token_files.write_token_files(docs, str(tmp_path / "ids"))
+    finally:
+        token_files.tidy = real
+    rows = {r["doc_id"]: r["n_tokens"] for r in token_files.read_token_files(spark, path).collect()}
+    assert len(seen) == 1 and rows[0] == 1 and rows[49] == 49 * (rows[1] - 1) + 1
+    assert before == [spark.conf.get(k) for k in keys]

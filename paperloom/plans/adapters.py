@@ -81,7 +81,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.concat(F.lit("15-"), _padded("o_orderkey", 10)).alias("doc_id"))
 
 
-def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rows(spark: SparkSession, sf_dir: str, kept: Callable[[DataFrame], DataFrame] = lambda table: table) -> DataFrame:
     """One row per line item, numbered within its order.
 
     Line items that are alike in the columns of this order are alike in all that is
@@ -91,7 +91,7 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("quantity")]
     order = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "quantity")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), part_sku().alias("part_sku"))
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), *columns).join(parts, "l_partkey", "left")
+    items = kept(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), *columns)).join(parts, "l_partkey", "left")
     return items.withColumn("rn", F.row_number().over(order))
 
 
@@ -114,14 +114,39 @@ def _cell(row: Column, band: Column) -> Column:
     )
 
 
-def pages(spark: SparkSession, sf_dir: str, step: Callable[[DataFrame], DataFrame] = lambda table: table) -> DataFrame:
+def part_of(key: str, part: int, parts: int) -> Callable[[DataFrame], DataFrame]:
+    """The rows of one of several parts by key; all parts together are the whole table."""
+    return lambda rows: rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part) if parts > 1 else rows
+
+
+def pages(spark: SparkSession, sf_dir: str, step: Callable[..., DataFrame] = lambda table: table, parts: int = 1) -> DataFrame:
     """The page stream: three rows a page, a batch per customer.
 
-    ``step`` may write the pages of orders before they move to their batches.
+    ``step`` may write the pages of orders, in so many parts, before they move to their batches.
     """
-    orders = table(spark, sf_dir, "orders")
+    of_orders = step(*(_pages_of_orders(spark, sf_dir, part_of("o_orderkey", k, parts)) for k in range(parts)))
+    of_batch = Window.partitionBy("batch_id").orderBy("o_orderkey", "page_no")
+    key = F.col("o_orderkey")
+    placed = of_orders.withColumn("page_index", F.row_number().over(of_batch) - 1)
+    # texts are composed after the pages have moved
+    cells = F.coalesce(F.transform("cells", _cell), F.array().cast("array<struct<band_index:int,item_barcode:string,sku:string,quantity:bigint,quantity_raw:string>>"))
+    return placed.select(
+        "batch_id",
+        "page_index",
+        ((F.col("page_no") == 0) & (key % 11 != 0)).alias("is_header_page"),
+        F.when(key % 23 != 0, F.concat(F.lit("15-"), _padded("o_orderkey", 10))).alias("doc_id"),
+        F.when(key % 29 != 0, key.cast("string")).alias("doc_number"),
+        F.when(key % 31 != 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")).alias("doc_date"),
+        (key % 37 == 0).alias("doc_id_mismatch"),
+        "totals",
+        cells.alias("rows"),
+    )
+
+
+def _pages_of_orders(spark: SparkSession, sf_dir: str, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    orders = kept(table(spark, sf_dir, "orders"))
     page_no = F.floor((F.col("rn") - 1) / ROWS_PER_PAGE).cast("int").alias("page_no")
-    of_pages = rows(spark, sf_dir).groupBy("o_orderkey", page_no).agg(
+    of_pages = rows(spark, sf_dir, kept).groupBy("o_orderkey", page_no).agg(
         F.sort_array(F.collect_list(F.struct("rn", "l_linenumber", "l_partkey", "l_suppkey", "quantity", "part_sku"))).alias("cells"),
         F.sum("quantity").alias("page_quantity"),
         F.sum("l_suppkey").alias("page_sum"),
@@ -137,23 +162,8 @@ def pages(spark: SparkSession, sf_dir: str, step: Callable[[DataFrame], DataFram
         F.when(last & (key % 19 != 0), printed).cast("bigint").alias("quantity"),
         F.when(last & (key % 29 != 0), F.sum("page_sum").over(inside)).cast("bigint").alias("sum"),
     )
-    of_batch = Window.partitionBy("batch_id").orderBy("o_orderkey", "page_no")
-    # texts are composed after the pages have moved
     bare = F.transform("cells", lambda c: c.dropFields("rn"))
-    of_orders = step(every.select("batch_id", "o_orderkey", "page_no", "o_orderdate", total.alias("totals"), bare.alias("cells")))
-    placed = of_orders.withColumn("page_index", F.row_number().over(of_batch) - 1)
-    cells = F.coalesce(F.transform("cells", _cell), F.array().cast("array<struct<band_index:int,item_barcode:string,sku:string,quantity:bigint,quantity_raw:string>>"))
-    return placed.select(
-        "batch_id",
-        "page_index",
-        ((F.col("page_no") == 0) & (key % 11 != 0)).alias("is_header_page"),
-        F.when(key % 23 != 0, F.concat(F.lit("15-"), _padded("o_orderkey", 10))).alias("doc_id"),
-        F.when(key % 29 != 0, key.cast("string")).alias("doc_number"),
-        F.when(key % 31 != 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")).alias("doc_date"),
-        (key % 37 == 0).alias("doc_id_mismatch"),
-        "totals",
-        cells.alias("rows"),
-    )
+    return every.select("batch_id", "o_orderkey", "page_no", "o_orderdate", total.alias("totals"), bare.alias("cells"))
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,9 @@ from ..sources import tables as sources
 from ..streaming import batches
 from . import adapters
 
+#: Bytes of line items that make a further part of a step, and how many parts there are at most.
+PART_BYTES, MOST_PARTS = 32 << 20, 8
+
 
 @dataclass
 class Run:
@@ -62,26 +65,61 @@ class Run:
     def resolved(self) -> DataFrame:
         return resolve.resolve(self.items, self.catalogue, self.dictionary)
 
-    def _stored(self, table: DataFrame, label: str) -> DataFrame:
+    def _stored(self, label: str, *parts: DataFrame) -> DataFrame:
         self._paths[label] = sinks.scratch(self.spark, label)
-        return sinks.stored(table, self._paths[label])
+        return sinks.stored(parts[0], self._paths[label], *parts[1:])
+
+    def drop(self, *labels: str) -> None:
+        """Nothing reads these steps any more."""
+        for label in labels:
+            sinks.remove(self.spark, self._paths[label])
+
+    @cached_property
+    def parts(self) -> int:
+        """In how many parts by key a step is written, so that only a part's shuffle files lie on disk at a time."""
+        return min(MOST_PARTS, 1 + sinks.size_of(self.spark, f"{self.sf_dir}/lineitem.parquet") // PART_BYTES)
+
+    def in_parts(self, label: str, key: str, step: Callable[..., DataFrame]) -> DataFrame:
+        """A step, given which rows to keep of each table that has the key; its parts, one after the other, are the whole."""
+        return self._stored(label, *(step(adapters.part_of(key, k, self.parts)) for k in range(self.parts)))
 
     @cached_property
     def checked(self) -> DataFrame:
         """Checked documents; segmented pages and resolved items, as far as checks and outputs read them, are written before."""
-        pages = adapters.pages(self.spark, self.sf_dir, lambda table: self._stored(table, "pages"))
-        self.segmented = self._stored(segment.numbered(segment.segment_pages(pages)), "segmented")
-        sinks.remove(self.spark, self._paths["pages"])
-        self.resolved = self._stored(self.resolved.drop("page_index", "ocr_sku", "quantity_raw"), "resolved")
-        return self._stored(validate.check_documents(self.documents, self.resolved, self.history), "checked")
+        pages = adapters.pages(self.spark, self.sf_dir, lambda *tables: self._stored("pages", *tables), self.parts)
+        self.segmented = self.in_parts("segmented", "batch_id", lambda kept: segment.numbered(segment.segment_pages(kept(pages))))
+        self.drop("pages")
+        self.resolved = self.in_parts("resolved", "item_barcode", self._resolved_part)
+        return self.in_parts(
+            "checked", "batch_id", lambda kept: validate.check_documents(segment.documents(kept(self.segmented)), kept(self.resolved), self.history)
+        )
+
+    def _resolved_part(self, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        # what is known of other barcodes need not move either
+        catalogue, dictionary = (kept(t.withColumn("item_barcode", F.col("barcode"))).drop("item_barcode") for t in (self.catalogue, self.dictionary))
+        return resolve.resolve(kept(self.items), catalogue, dictionary).drop("page_index", "ocr_sku", "quantity_raw")
 
     @cached_property
     def validated(self) -> tuple[DataFrame, DataFrame]:
         """Checked documents and flagged items; the segmented pages are gone by then."""
         documents = self.checked
-        sinks.remove(self.spark, self._paths["segmented"])
+        self.drop("segmented")
         return documents, validate.flag_items(documents, self.resolved)
 
+    def output(self, rows: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        """Rows made of checked documents and flagged items; of large inputs they are written in parts too."""
+        documents, items = self.validated
+        if self.parts == 1:
+            return rows(documents, items)
+
+        def made(kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
+            checked = kept(documents)
+            return rows(checked, validate.flag_items(checked, kept(self.resolved)))
+
+        written = self.in_parts("output", "batch_id", made)
+        self.drop("checked", "resolved")
+        return written
+
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, n, p, d, c, cs: what the field texts below are composed of."""
@@ -258,11 +296,11 @@ def _rule_histogram(spark, sf_dir):
 
 
 def _sheet_rows(spark, sf_dir):
-    return outputs.sheet_rows(*Run(spark, sf_dir).validated)
+    return Run(spark, sf_dir).output(outputs.sheet_rows)
 
 
 def _log_rows(spark, sf_dir):
-    return outputs.log_rows(*Run(spark, sf_dir).validated, adapters.SCANNED_AT)
+    return Run(spark, sf_dir).output(lambda documents, items: outputs.log_rows(documents, items, adapters.SCANNED_AT))
 
 
 def _segment_documents(spark, sf_dir):
@@ -340,12 +378,17 @@ def _unreadable_cells(spark, sf_dir):
 
 
 def _review_rate_by_month(spark, sf_dir):
-    return outputs.review_rates(Run(spark, sf_dir).checked)
+    run = Run(spark, sf_dir)
+    checked = run.checked
+    run.drop("segmented", "resolved")
+    return outputs.review_rates(checked)
 
 
 def _issue_histogram(spark, sf_dir):
     run = Run(spark, sf_dir)
-    issues = run.checked.select(F.explode("issues").alias("i")).unionByName(validate.item_issues(run.resolved).select(F.explode("issues").alias("i")))
+    checked = run.checked
+    run.drop("segmented")
+    issues = checked.select(F.explode("issues").alias("i")).unionByName(validate.item_issues(run.resolved).select(F.explode("issues").alias("i")))
     return issues.groupBy("i.code", "i.severity").agg(F.count(F.lit(1)).alias("n"))
 
 

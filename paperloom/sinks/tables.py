@@ -117,14 +117,24 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(table: DataFrame, path: str) -> DataFrame:
-    """Writes a step of a query and reads it, so that it is computed once; its shuffle files go when it is written."""
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes below a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def stored(table: DataFrame, path: str, *more: DataFrame) -> DataFrame:
+    """Writes a step of a query and reads it, so that it is computed once; its shuffle files go when it is written.
+
+    ``more``: further parts of the step, each written when the one before it is.
+    """
     spark = table.sparkSession
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup)
     spark.conf.set(cleanup, "true")
     try:
-        table.write.parquet(path)
+        for part in (table, *more):
+            part.write.mode("append").parquet(path)
     finally:
         spark.conf.set(cleanup, before)
     return spark.read.schema(table.schema).parquet(path)

@@ -41,3 +41,20 @@ def test_steps_that_are_read_no_more_are_removed(spark):
     left = {label for label, path in run._paths.items() if Path(path.removeprefix("file:")).exists()}
     assert left == {"resolved", "checked"} and set(run._paths) == left | {"pages", "segmented"}
     assert documents.count() and items.count()
+
+
+@pytest.mark.parametrize("name", ["sheet_rows", "log_rows", "review_rate_by_month", "issue_histogram"])
+def test_large_inputs_are_worked_off_in_parts(spark, monkeypatch, name):
+    from paperloom.plans import queries
+
+    whole = catalog.queries()[name](spark, SF)
+    paths, sizes = {}, []
+    monkeypatch.setattr(queries, "PART_BYTES", 1 << 15)
+    real, scratch = queries.sinks.stored, queries.sinks.scratch
+    monkeypatch.setattr(queries.sinks, "scratch", lambda spark, label: paths.setdefault(label, scratch(spark, label)))
+    monkeypatch.setattr(queries.sinks, "stored", lambda table, path, *more: sizes.append(1 + len(more)) or real(table, path, *more))
+    parts = catalog.queries()[name](spark, SF)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+    assert len(sizes) >= 4 and min(sizes) > 1
+    left = {label for label, path in paths.items() if Path(path.removeprefix("file:")).exists()}
+    assert left == {"sheet_rows": {"output"}, "log_rows": {"output"}, "review_rate_by_month": {"checked"}, "issue_histogram": {"checked", "resolved"}}[name]

@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingle_kernel
-from .common import Shelf, id_text, read_table, tidy
+from .common import Shelf, id_text, read_table, tidy, writing
 from .graph import components
 
 THRESHOLD_PERCENT = 75
@@ -111,7 +111,8 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """
     least = max(3.0, FREQUENT_SHARE * docs.count())
     counted = docs.select("text").mapInArrow(tidy(_count_frequent), "shingle long, n long")
-    rows = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("shingle").toPandas()
+    with writing(docs.sparkSession):
+        rows = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("shingle").toPandas()
     return np.sort(rows["shingle"].to_numpy(np.int64).view(np.uint64))
 
 

@@ -8,12 +8,16 @@ none is sampled or capped:
    many of its shingles fall into each hash group, and its prefix (see 3).
 2. Equal sets become one node, so copies never make pairs.
 3. Sets that link share a shingle among the first n - ceil(0.75 n) + 1 of a
-   common order (frequent shingles last, else by hash).  A prefix shingle that
-   several nodes share belongs to the least of them, its anchor, and all nodes
-   that share a shingle of an anchor form one R-tree over their count vectors.
-   So a group of near copies makes a few trees, not one for each shingle it
-   shares.  One R-tree over all documents would prune little: counts of a random
-   hash are near-equal in all dimensions, so its boxes overlap.
+   common order (frequent shingles last, else by hash), and e more of them if the
+   prefix is e longer.  A prefix shingle that several nodes share belongs to the
+   least of them, its anchor, and all nodes that share a shingle of an anchor
+   form one R-tree over their count vectors.  So a group of near copies makes a
+   few trees, not one for each shingle it shares.  Prefixes are 0.1 n longer, and
+   a node leaves its largest trees while they hold no more shingles of it than
+   a link has to spare (see ``_least_trees``): documents that share only a
+   passage mostly are in no tree.  One R-tree over all documents would prune
+   little: counts of a random hash are near-equal in all dimensions, so its
+   boxes overlap.
 4. Stars: each point of a tree is bounded against the tree's anchor alone, by
    summed coordinate minima; pairs below 3/7 (n1 + n2) cannot link.  What is
    left is verified on the exact sets and contracted, which folds a group of
@@ -48,7 +52,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shingle_kernel
@@ -82,12 +86,18 @@ FILTER_BITS = 24
 #: Counts of vectors that are unpacked and compared at once.
 BOUND_CELLS = 1 << 20
 
+#: Shingles that prefixes hold beyond those they need, of a set's size.
+SPARE_PERCENT = 10
+#: Parts of the prefixes, by the shingles' low bits.  They are dealt one or several at a time, so that
+#: only a part's shuffle files lie on disk: a turn for each PART_SHINGLES shingles of all sets, at most all.
+PREFIX_PARTS, PART_SHINGLES = 8, 1 << 24
+
 #: What draws the leaders of each round.
 _MASKS = shingle_kernel.mix(np.arange(1, 5, dtype=np.uint64))
 
-SKETCH = (
-    "doc_id long, node long, text_hash long, n long, digest binary, counts binary, prefix array<long>, frequent array<long>"
-)
+#: part 0: documents; parts from 1 on: node and keys, its prefix shingles of that part; the last: the frequent ones.
+SKETCH = "doc_id long, node long, text_hash long, n long, digest binary, counts binary, keys array<long>, part int"
+_SKETCHED = ["doc_id", "node", "text_hash", "n", "digest", "counts", "keys", "part"]
 
 
 def _count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +156,37 @@ def fold(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts.reshape(*counts.shape[:-1], groups, -1).sum(axis=-1, dtype=np.int32) if groups < counts.shape[-1] else counts
 
 
-def _sketch(frequent: np.ndarray):
-    def lists(found: list[np.ndarray]) -> pa.Array:
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in found])])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
+def prefix_length(size: int) -> int:
+    """Sets that link share more than ``SPARE_PERCENT`` of 0.75 n shingles within their prefixes."""
+    return min(size, size - (THRESHOLD_PERCENT * size + 99) // 100 + 1 + SPARE_PERCENT * size // 100)
+
+
+def _prefix_rows(node: pa.Array, rare: list[np.ndarray], often: list[np.ndarray]) -> pa.RecordBatch:
+    """The rows of all parts but the first."""
+    values = np.concatenate([*rare, *often])
+    row = np.repeat(np.tile(np.arange(len(node)), 2), [len(p) for p in (*rare, *often)])
+    part = (values & np.uint64(PREFIX_PARTS - 1)).astype(np.int64)
+    part[sum(len(p) for p in rare) :] = PREFIX_PARTS
+    place = part * len(node) + row
+    sizes = np.bincount(place)
+    filled = np.flatnonzero(sizes)
+    offsets = np.concatenate([[0], np.cumsum(sizes[filled])])
+    keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[np.argsort(place, kind="stable")].view(np.int64)))
+    empty = {kind: pa.nulls(len(filled), kind) for kind in (pa.int64(), pa.binary())}
+    return pa.RecordBatch.from_arrays(
+        [
+            empty[pa.int64()],
+            node.take(pa.array(filled % len(node))),
+            *[empty[pa.int64()]] * 2,
+            *[empty[pa.binary()]] * 2,
+            keys,
+            pa.array(filled // len(node) + 1, pa.int32()),
+        ],
+        names=_SKETCHED,
+    )
 
+
+def _sketch(frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 512):
@@ -167,7 +203,7 @@ def _sketch(frequent: np.ndarray):
                     bits = groups_of(size).bit_length() - 1
                     per_group = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
                     counts.append(closed(per_group))
-                    length = size - (THRESHOLD_PERCENT * size + 99) // 100 + 1
+                    length = prefix_length(size)
                     late = own[:0]
                     if len(frequent):
                         is_late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
@@ -180,20 +216,23 @@ def _sketch(frequent: np.ndarray):
                         pa.array(n, pa.int64()),
                         pa.array(digest, pa.binary()),
                         pa.array(counts, pa.binary()),
-                        lists(rare),
-                        lists(often),
+                        pa.nulls(len(n), pa.list_(pa.int64())),
+                        pa.array(np.zeros(len(n), np.int32)),
                     ],
-                    names=["doc_id", "node", "text_hash", "n", "digest", "counts", "prefix", "frequent"],
+                    names=_SKETCHED,
                 )
+                yield _prefix_rows(batch.column(1), rare, often)
 
     return run
 
 
-def sketch_documents(docs: DataFrame, shelf: Shelf) -> DataFrame:
-    """One row per document, written; ``node`` numbers the rows."""
+def sketch_documents(docs: DataFrame, shelf: Shelf) -> tuple[DataFrame, list[DataFrame]]:
+    """One row per document, and the parts of the prefixes, written; ``node`` numbers the rows."""
     frequent = frequent_shingles(docs)
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("node"), F.xxhash64("text").alias("text_hash"), "text")
-    return shelf.put(rows.mapInArrow(tidy(_sketch(frequent)), SKETCH), "jaccard-sketch")
+    rows = rows.mapInArrow(tidy(_sketch(frequent)), SKETCH)
+    sketch, *prefixes = shelf.put_parts(rows, "jaccard-sketch", "part", range(PREFIX_PARTS + 2))
+    return sketch, prefixes
 
 
 def _bound(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
@@ -554,8 +593,15 @@ def _without(rows: DataFrame, others: DataFrame) -> DataFrame:
     return told.where("NOT marked").unionByName(unsure).drop("marked")
 
 
-def possible(pairs: DataFrame, vectors: DataFrame, spare_of, shelf: Shelf) -> DataFrame:
+def _among(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows whose node may be among the others, so that most others need not move."""
+    return _marked(rows, F.xxhash64("node"), others).where("marked").drop("marked")
+
+
+def possible(pairs: DataFrame, sketch: DataFrame, vectors_of, spare_of, shelf: Shelf) -> DataFrame:
     """The pairs ``(a, b)`` that sizes and vectors ``(node, n, vector)`` let link, written."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    vectors = vectors_of(_among(sketch, ends))
     rows = _by_leader(_dealt(pairs).join(vectors, "node").select("lead", "part", "role", "node", *vectors.columns[1:]))
     return shelf.put(rows.mapInArrow(tidy(_keep_possible(spare_of)), "a long, b long"), "jaccard-possible")
 
@@ -565,7 +611,7 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, shelf: Shelf)
 
     Counts up to three rule out most pairs before any text moves.
     """
-    pairs = close = possible(pairs, sketch.select("node", "n", "counts"), _spare, shelf)
+    pairs = close = possible(pairs, sketch, lambda rows: rows.select("node", "n", "counts"), _spare, shelf)
     places = sketch.select("node", F.col("doc_id").alias("its_id"), "text_hash")
     jobs = shelf.put(_dealt(pairs).join(places, "node"), "jaccard-jobs")
     texts = _likely(docs.withColumn("text_hash", F.xxhash64("text")), jobs)
@@ -577,20 +623,58 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, shelf: Shelf)
     return links
 
 
-def tree_members(nodes: DataFrame, shelf: Shelf) -> DataFrame:
-    """key (the anchor's node), node: the nodes of each tree, written.
+def tree_members(sketch: DataFrame, prefixes: list[DataFrame], repeats: DataFrame, shelf: Shelf) -> DataFrame:
+    """key (the anchor's node), node: the nodes of each tree, written; prefixes are dropped.
 
-    Frequent shingles may be in the prefixes of a third of all nodes: they are
-    combined before they move, and their anchors (as many at most as there are
-    frequent shingles) are sent to their rows.  Others move once.
+    Prefixes are dealt in parts by shingle.  Frequent shingles may be in the
+    prefixes of a third of all nodes: they are combined before they move, and
+    their anchors (as many at most as there are frequent shingles) are sent to
+    their rows.  Others move once.
     """
     shared = (F.min("node").alias("anchor"), F.count(F.lit(1)).alias("k"))
-    dealt = nodes.select("node", F.explode("prefix").alias("key")).repartition("key")
-    rare = dealt.join(dealt.groupBy("key").agg(*shared).where("k > 1").select("key", "anchor"), "key")
-    often = nodes.select("node", F.explode("frequent").alias("key"))
-    often = often.join(F.broadcast(often.groupBy("key").agg(*shared).where("k > 1").select("key", "anchor")), "key")
-    found = rare.unionByName(often).select(F.col("anchor").alias("key"), "node").distinct()
-    return shelf.put(found, "jaccard-trees")
+
+    def shingles(parts: list[DataFrame]) -> DataFrame:
+        whole = parts[0]
+        for more in parts[1:]:
+            whole = whole.unionByName(more)
+        return _without(whole.select("node", "keys"), repeats).select("node", F.explode("keys").alias("key"))
+
+    def met(dealt: DataFrame, send) -> DataFrame:
+        anchors = send(dealt.groupBy("key").agg(*shared).where("k > 1").select("key", "anchor"))
+        both = dealt.join(anchors, "key").groupBy(F.col("anchor").alias("key"), "node")
+        return shelf.put(both.agg(F.count(F.lit(1)).alias("shared")), "jaccard-met")
+
+    *rare, often = prefixes
+    turns = min(len(rare), 1 + (sketch.agg(F.sum("n")).first()[0] or 0) // PART_SHINGLES)
+    found = []
+    for turn in range(turns):
+        found.append(met(shingles(rare[turn::turns]).repartition("key"), lambda anchors: anchors))
+        shelf.drop(*rare[turn::turns])
+    found.append(met(shingles([often]), F.broadcast))
+    shelf.drop(often)
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    whole = shelf.put(whole.groupBy("key", "node").agg(F.sum("shared").alias("shared")), "jaccard-met")
+    shelf.drop(*found)
+    trees = shelf.put(_least_trees(whole, sketch), "jaccard-trees")
+    shelf.drop(whole)
+    return trees
+
+
+def _least_trees(members: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The members (key, node, shared) without those of large trees that no link needs.
+
+    Two linked sets share more shingles of their prefixes than ``spare``.  Trees
+    have one order for all nodes, so if each node leaves the largest that hold
+    ``spare`` of its shingles or fewer, the pair still meets in the least tree
+    of a shingle that it shares.
+    """
+    crowds = members.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"))
+    spare = F.expr(f"({SPARE_PERCENT} * (({THRESHOLD_PERCENT} * n + 99) div 100)) div 100")
+    largest = Window.partitionBy("node").orderBy(F.desc("crowd"), F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)
+    sized = members.join(crowds, "key").join(sketch.select("node", spare.alias("spare")), "node")
+    return sized.withColumn("left", F.sum("shared").over(largest)).where("left > spare").select("key", "node")
 
 
 def _labelled(members: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -613,7 +697,7 @@ def star_links(members: DataFrame, comps: DataFrame | None, sketch: DataFrame, d
     sizes = sketch.select("node", "n")
     sized = pairs.join(sizes.toDF("a", "n1"), "a").join(sizes.toDF("b", "n2"), "b")
     pairs = shelf.put(sized.where("4 * n1 >= 3 * n2 and 4 * n2 >= 3 * n1").select("a", "b"), "jaccard-sized")
-    close = possible(pairs, points(sketch), _bit_spare, shelf)
+    close = possible(pairs, sketch, points, _bit_spare, shelf)
     links = verified(close, sketch, docs, shelf)
     shelf.drop(pairs, close)
     return links
@@ -682,7 +766,7 @@ def tree_links(
     """
     sized = _labelled(members, comps).join(sketch.select("node", "n"), "node")
     placed = shelf.put(_blocks(sized), "jaccard-blocks")
-    trees = placed.join(points(sketch), "node").select("home", "block", "node", "comp", "n", "bits", "side", "trees")
+    trees = placed.join(points(_among(sketch, placed)), "node").select("home", "block", "node", "comp", "n", "bits", "side", "trees")
     # two trees may both hold a pair: it is verified once
     join = _join_best if best else _join_all
     found = trees.repartition("home", "block").sortWithinPartitions("home", "block").mapInArrow(tidy(join), "a long, b long")
@@ -700,12 +784,12 @@ def link_documents(documents: DataFrame) -> DataFrame:
     ``node`` numbers the rows; ``comp`` is the component's least node.
     """
     docs, shelf = id_text(documents), Shelf(documents.sparkSession)
-    sketch = sketch_documents(docs, shelf)
+    sketch, prefixes = sketch_documents(docs, shelf)
     filled = sketch.where("n > 0")
     copies = filled.groupBy("digest", "n").agg(F.min("node").alias("rep"))
     members = shelf.put(filled.join(copies, ["digest", "n"]).select("node", "rep"), "jaccard-members")
     repeats = members.where("node <> rep").select("node")
-    trees = tree_members(_without(filled.select("node", "prefix", "frequent"), repeats), shelf)
+    trees = tree_members(sketch, prefixes, repeats, shelf)
     comps, links = None, []
 
     def contract(new: DataFrame) -> DataFrame:

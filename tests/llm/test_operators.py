@@ -102,6 +102,60 @@ def test_exact_stage_finds_all_links_without_star_rounds(make, monkeypatch):
     assert Counter(map(tuple, got)) == brute_components(rows)
 
 
+def trees_of(monkeypatch, docs):
+    """Rows of the trees and of each turn's part of them, and the result."""
+    seen, put = [], jaccard_join.Shelf.put
+
+    def counted(shelf, df, label):
+        table = put(shelf, df, label)
+        seen.append((label, table.count() if label in ("jaccard-trees", "jaccard-met") else 0))
+        return table
+
+    monkeypatch.setattr(jaccard_join.Shelf, "put", counted)
+    got = jaccard_join.link_documents(docs).select("doc_id", "n_shingles", "component_id").collect()
+    return [[n for label, n in seen if label == want] for want in ("jaccard-trees", "jaccard-met")], Counter(map(tuple, got))
+
+
+def test_documents_that_share_a_passage_are_in_no_tree(make, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(20):  # two documents each, so the passage counts as rare
+        passage = prose(rng, 30)
+        texts += [prose(rng, 140) + passage + prose(rng, 140) for _ in range(2)]
+    for _ in range(5):
+        base = prose(rng, 300)
+        texts += [base, base[:-9] + prose(rng, 9)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    ((trees,), _), got = trees_of(monkeypatch, make(rows))
+    assert got == brute_components(rows)
+    assert trees == 10  # the near copies
+
+
+def test_prefixes_are_dealt_in_parts(make, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PART_SHINGLES", 100)
+    rows = near_copies(3)
+    (_, met), got = trees_of(monkeypatch, make(rows))
+    assert got == brute_components(rows)
+    # one for each part, the frequent shingles, and all of them together
+    assert len(met) == jaccard_join.PREFIX_PARTS + 2 and all(met[: jaccard_join.PREFIX_PARTS])
+
+
+def test_links_share_more_of_their_prefixes_than_is_spare():
+    rng = np.random.default_rng(6)
+    found = 0
+    for _ in range(2000):
+        size = int(rng.integers(1, 400))
+        base = rng.permutation(1000)[:size]
+        other = np.union1d(base[int(rng.integers(0, size // 4 + 1)) :], rng.permutation(1000)[: int(rng.integers(0, size // 4 + 1))])
+        one, both = np.sort(base), len(np.intersect1d(base, other))
+        if 100 * both >= 75 * (len(one) + len(other) - both):
+            found += 1
+            shared = np.intersect1d(one[: jaccard_join.prefix_length(len(one))], other[: jaccard_join.prefix_length(len(other))])
+            for n in (len(one), len(other)):
+                assert len(shared) > jaccard_join.SPARE_PERCENT * -(-75 * n // 100) // 100
+    assert found > 500
+
+
 def test_jaccard_join_edges(make, spark):
     got = jaccard_join.link_documents(make(EDGES)).select("doc_id", "n_shingles", "component_id").collect()
     assert Counter(map(tuple, got)) == brute_components(EDGES)
